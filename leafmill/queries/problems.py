@@ -1,0 +1,47 @@
+"""Queries of the general problems: splitting oversized items, nearest vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.operators import split
+from leafmill.queries import query
+from leafmill.sources.tables import table
+
+PAGE_LIMIT, PAGE_OVERLAP, CHUNK_LIMIT, CHUNK_OVERLAP = 2000, 200, 500, 50
+
+
+def _page_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_oversized(table(spark, d, "doc_pages"), ["page_id"], "text", PAGE_LIMIT, PAGE_OVERLAP)
+
+
+def _chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_oversized(table(spark, d, "doc_chunks"), ["chunk_id"], "text", CHUNK_LIMIT, CHUNK_OVERLAP, offset="start_char")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT page_id, source_id, page_number, text FROM doc_pages),
+c AS (SELECT DISTINCT chunk_id, source_id, page_number, text, start_char FROM doc_chunks WHERE text <> ''),
+placed AS (SELECT chunk_id, p.text AS page, length(c.text) AS n, CASE WHEN start_char >= 0 AND substr(p.text, start_char + 1, length(c.text)) = c.text THEN start_char ELSE strpos(p.text, c.text) - 1 END AS a
+  FROM c JOIN p ON p.source_id = c.source_id AND p.page_number = c.page_number WHERE p.text <> ''),
+ends AS (SELECT chunk_id, substr(page, 1, e) AS l, substr(page, e + 1) AS r FROM (SELECT chunk_id, page, unnest([a, a + n]) AS e FROM placed WHERE a >= 0))
+SELECT DISTINCT 'page_oversize' AS item_kind, CAST(page_id AS VARCHAR) AS item_id FROM p WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > 2000
+UNION SELECT DISTINCT 'chunk_oversize', chunk_id FROM c WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10))) > 500
+UNION SELECT DISTINCT 'chunk_midword', chunk_id FROM ends WHERE regexp_matches(l, '[\\p{L}\\p{N}]\\z') AND regexp_matches(r, '^[\\p{L}\\p{N}]')
+  AND length(regexp_extract(l, '\\S*\\z')) + length(regexp_extract(r, '^\\S*')) <= 500
+""")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = F.col("pieces") > 1
+    page = _page_pieces(spark, d).where(cut).select(F.lit("page_oversize").alias("item_kind"), F.col("page_id").cast("string").alias("item_id"))
+    chunk = _chunk_pieces(spark, d).where(cut).select(F.lit("chunk_oversize").alias("item_kind"), F.col("chunk_id").alias("item_id"))
+    word = split.cut_in_words(table(spark, d, "doc_chunks"), table(spark, d, "doc_pages"))
+    return page.unionByName(chunk).unionByName(word.select(F.lit("chunk_midword").alias("item_kind"), F.col("chunk_id").alias("item_id"))).distinct()
+
+
+@query()
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces of all pages and chunks; a chunk's pieces have their place in its page where its offset is known."""
+    page = _page_pieces(spark, d).withColumn("item_kind", F.lit("page")).withColumn("item_id", F.col("page_id").cast("string")).drop("page_id")
+    chunk = _chunk_pieces(spark, d).withColumn("item_kind", F.lit("chunk")).withColumnRenamed("chunk_id", "item_id")
+    return page.unionByName(chunk).select("item_kind", "item_id", "piece_no", "pieces", "start_char", "end_char", "piece").distinct()
