@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import split
+from leafmill.operators import knn, split
 from leafmill.queries import query
 from leafmill.sources.tables import table
 
@@ -45,3 +45,21 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     page = _page_pieces(spark, d).withColumn("item_kind", F.lit("page")).withColumn("item_id", F.col("page_id").cast("string")).drop("page_id")
     chunk = _chunk_pieces(spark, d).withColumn("item_kind", F.lit("chunk")).withColumnRenamed("chunk_id", "item_id")
     return page.unionByName(chunk).select("item_kind", "item_id", "piece_no", "pieces", "start_char", "end_char", "piece").distinct()
+
+
+VECTOR_DIM, NEAREST, LEAST_COSINE = 96, 10, 0.8
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    graph = knn.neighbour_graph(knn.valid_vectors(table(spark, d, "chunk_vectors"), "vec_id", "vector", VECTOR_DIM), NEAREST + 2, VECTOR_DIM)
+    near = knn.neighbours(graph, NEAREST, LEAST_COSINE)
+    return near.select(F.least("id", "nbr").alias("vec_a"), F.greatest("id", "nbr").alias("vec_b")).distinct()
+
+
+@query()
+def p5_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy graph search with every vector whose id is divisible by 100 as a query, against all vectors."""
+    vectors = knn.valid_vectors(table(spark, d, "chunk_vectors"), "vec_id", "vector", VECTOR_DIM)
+    graph = knn.neighbour_graph(vectors, NEAREST + 2, VECTOR_DIM)
+    return knn.search(graph, vectors.where("id % 100 = 0"), NEAREST)
