@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import leaks, packing, repeats
+from leafmill.llm import leaks, packing, pairs, repeats, scans, subjects
 from leafmill.sources.tables import table
 
 QUERIES: dict[str, Callable] = {}
@@ -54,6 +54,27 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_repeats(pages, repeats.repeated_lines(pages)[0]).select("page_id", "source_id", "page_number", "text").distinct()
 
 
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_defects(table(spark, d, "doc_pages"), table(spark, d, "study_sections"), table(spark, d, "study_sessions"))[0]
+
+
+@query()
+def p3_repair(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' and sections' texts as continuous paragraphs."""
+    pages, sections = table(spark, d, "doc_pages"), table(spark, d, "study_sections")
+    found = scans.scan_defects(pages, sections, table(spark, d, "study_sessions"))
+    records = pages.select(F.lit("page").alias("rec_kind"), F.col("page_id").alias("rec_id"), "text").unionByName(sections.select(F.lit("section").alias("rec_kind"), F.col("id").alias("rec_id"), F.col("section_text").alias("text")))
+    return scans.repaired(records, *found).distinct()
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "eval_dataset").select(F.lit("eval_dataset").alias("tbl"), "item_id", "question", "answer")
+    quiz = table(spark, d, "quiz_questions").select(F.lit("quiz_questions").alias("tbl"), F.col("question_id").alias("item_id"), F.col("prompt").alias("question"), "answer")
+    return pairs.defective_pairs(own.unionByName(quiz), ["tbl", "item_id"], "question", "answer")
+
+
 @query()
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "context_budgets"))
@@ -79,3 +100,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
     """Also windows in which up to a sixth of the words differ, with the best share of equal words."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), similarity=5 / 6)
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")).select("doc_id", "subject")
+
+
+@query()
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and mean share of their sentences for each subject."""
+    found = subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 3).alias("mean_share"))
