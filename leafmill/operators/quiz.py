@@ -24,12 +24,12 @@ def _longest(words: Column) -> Column:
 def cloze(texts: DataFrame, scope: str, order: list[str], text: str, stop: list[str], n: int = 3) -> DataFrame:
     """(scope, question_no, prompt, answer, options): sentences of eight or more words with their longest word (above
     five characters, no stop word) left out once; options are it and the first three other such words of the scope."""
-    s = texts.select(scope, *order, F.posexplode(tx.sentences(tx.clean(text), 8)).alias("no", "s"))
-    words = F.filter(F.transform(F.split("s", r"\s+"), lambda w: F.regexp_replace(w, _EDGE, "")), lambda w: (F.length(w) > 5) & ~F.lower(w).isin(stop))
+    s = texts.select(scope, *order, F.posexplode(tx.sentences(tx.clean(text), 8)).alias("_no", "_s"))
+    words = F.filter(F.transform(F.split("_s", r"\s+"), lambda w: F.regexp_replace(w, _EDGE, "")), lambda w: (F.length(w) > 5) & ~F.lower(w).isin(stop))
     s = s.withColumn("answer", _longest(words)).where(F.col("answer").isNotNull())
-    place = F.instr("s", F.col("answer"))
-    s = s.withColumn("prompt", F.concat(F.lit("Fill in the blank: "), F.substring(F.col("s"), F.lit(1), place - 1), F.lit("_____"), F.substring(F.col("s"), place + F.length("answer"), F.length("s"))))
-    s = s.withColumn("at", F.struct(*order, "no"))
+    place = F.instr("_s", F.col("answer"))
+    s = s.withColumn("prompt", F.concat(F.lit("Fill in the blank: "), F.substring(F.col("_s"), F.lit(1), place - 1), F.lit("_____"), F.substring(F.col("_s"), place + F.length("answer"), F.length("_s"))))
+    s = s.withColumn("at", F.struct(*order, "_no"))
     pool = s.groupBy(scope, F.lower("answer").alias("low")).agg(F.min(F.struct("at", "answer")).alias("f"))
     pool = pool.withColumn("r", F.row_number().over(Window.partitionBy(scope).orderBy("f.at"))).where("r <= 4").groupBy(scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "f.answer"))), lambda x: x["answer"]).alias("pool"))
     first = s.groupBy(scope, "prompt").agg(F.min(F.struct("at", "answer")).alias("f"))
@@ -41,10 +41,10 @@ def cloze(texts: DataFrame, scope: str, order: list[str], text: str, stop: list[
 def multiple_choice(texts: DataFrame, scope: str, order: list[str], text: str, n: int = 5) -> DataFrame:
     """(scope, question_no, answer, options): the first eight words of a sentence of seven or more as the answer, those
     of the next sentences that differ as distractors."""
-    s = texts.select(scope, *order, F.posexplode(tx.sentences(text, 7, at_lines=True)).alias("no", "s"))
-    phrase = F.array_join(F.slice(F.regexp_extract_all(F.substring("s", 1, 220), F.lit("[A-Za-z][A-Za-z0-9-]*"), F.lit(0)), 1, 8), " ")
-    w = Window.partitionBy(scope).orderBy(*order, "no")
-    s = s.select(scope, *order, "no", phrase.alias("answer"))
+    s = texts.select(scope, *order, F.posexplode(tx.sentences(text, 7, at_lines=True)).alias("_no", "_s"))
+    phrase = F.array_join(F.slice(F.regexp_extract_all(F.substring("_s", 1, 220), F.lit("[A-Za-z][A-Za-z0-9-]*"), F.lit(0)), 1, 8), " ")
+    w = Window.partitionBy(scope).orderBy(*order, "_no")
+    s = s.select(scope, *order, "_no", phrase.alias("answer"))
     s = s.withColumn("question_no", F.row_number().over(w))
     later = F.collect_list("answer").over(w.rowsBetween(1, 40))
     s = s.withColumn("later", later).where(F.col("question_no") <= n)
@@ -100,7 +100,8 @@ def related_sections(questions: DataFrame, sections: DataFrame) -> DataFrame:
 
 def parsed_score(c: Column) -> Column:
     """The number after 'Score:', from 0 to 100; null without one."""
-    return F.least(F.lit(100), F.greatest(F.lit(0), F.nullif(F.regexp_extract(c, r"(?i)score:\s*(\d+)", 1), F.lit("")).try_cast("int")))
+    value = F.nullif(F.regexp_extract(c, r"(?i)score:\s*(\d{1,9})", 1), F.lit("")).cast("int")
+    return F.when(value.isNotNull(), F.least(F.lit(100), value))
 
 
 def normal_exam(exams: DataFrame, key: str, payload: str, most: int = 25) -> DataFrame:
