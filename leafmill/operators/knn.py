@@ -236,10 +236,11 @@ def neighbours(graph: Graph, k: int, least: float = -1.0) -> DataFrame:
     return own.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "nbr"))).where(F.col("r") <= k).drop("r")
 
 
-def search(graph: Graph, queries: DataFrame, k: int, beam: int = 32, rounds: int = 6, entries: int = 6) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int, beam: int = 32, rounds: int = 8, entries: int = 40) -> DataFrame:
     """(query, nbr, cos, rank): greedy search of the graph for each of ``queries`` (id, vec), other than itself.
 
-    A query starts at a few nodes of its leaf in each tree; each round looks at the neighbours of its best ``beam``
+    A query starts at ``entries`` nodes of its leaf in each tree, as groups of near vectors may have no edges to others; each
+    round looks at the neighbours of its best ``beam``
     nodes that it has not followed yet, until none is left or after ``rounds``.
     """
     spark = queries.sparkSession

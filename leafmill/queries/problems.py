@@ -21,7 +21,7 @@ def _chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT DISTINCT page_id, source_id, page_number, text FROM doc_pages),
+WITH p AS (SELECT DISTINCT page_id, coalesce(nullif(trim(source_id), ''), metadata['source']) AS source_id, page_number, text FROM doc_pages),
 c AS (SELECT DISTINCT chunk_id, source_id, page_number, text, start_char FROM doc_chunks WHERE text <> ''),
 placed AS (SELECT chunk_id, p.text AS page, length(c.text) AS n, CASE WHEN start_char >= 0 AND substr(p.text, start_char + 1, length(c.text)) = c.text THEN start_char ELSE strpos(p.text, c.text) - 1 END AS a
   FROM c JOIN p ON p.source_id = c.source_id AND p.page_number = c.page_number WHERE p.text <> ''),
@@ -35,7 +35,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     cut = F.col("pieces") > 1
     page = _page_pieces(spark, d).where(cut).select(F.lit("page_oversize").alias("item_kind"), F.col("page_id").cast("string").alias("item_id"))
     chunk = _chunk_pieces(spark, d).where(cut).select(F.lit("chunk_oversize").alias("item_kind"), F.col("chunk_id").alias("item_id"))
-    word = split.cut_in_words(table(spark, d, "doc_chunks"), table(spark, d, "doc_pages"))
+    pages = table(spark, d, "doc_pages")
+    named = pages.withColumn("source_id", F.coalesce(F.nullif(F.trim("source_id"), F.lit("")), F.try_element_at("metadata", F.lit("source"))))
+    word = split.cut_in_words(table(spark, d, "doc_chunks"), named)
     return page.unionByName(chunk).unionByName(word.select(F.lit("chunk_midword").alias("item_kind"), F.col("chunk_id").alias("item_id"))).distinct()
 
 
@@ -59,7 +61,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p5_search(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy graph search with every vector whose id is divisible by 100 as a query, against all vectors."""
+    """Greedy graph search with every vector whose id is divisible by 100 as a query, against all vectors; as in
+    ``p5_found`` only cosines of at least 0.8 count."""
     vectors = knn.valid_vectors(table(spark, d, "chunk_vectors"), "vec_id", "vector", VECTOR_DIM)
     graph = knn.neighbour_graph(vectors, NEAREST + 2, VECTOR_DIM)
-    return knn.search(graph, vectors.where("id % 100 = 0"), NEAREST)
+    return knn.search(graph, vectors.where("id % 100 = 0"), NEAREST).where(F.col("cos") >= LEAST_COSINE)
