@@ -52,7 +52,12 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 VECTOR_DIM, NEAREST, LEAST_COSINE = 96, 10, 0.8
 
 
-@query()
+@query("""
+WITH v AS (SELECT DISTINCT vec_id, vector FROM chunk_vectors WHERE len(vector) = 96 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 12) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s WHERE c >= 0.8)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 10
+""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     graph = knn.neighbour_graph(knn.valid_vectors(table(spark, d, "chunk_vectors"), "vec_id", "vector", VECTOR_DIM), NEAREST + 2, VECTOR_DIM)
     near = knn.neighbours(graph, NEAREST, LEAST_COSINE)

@@ -122,7 +122,9 @@ def suggested_sessions(spark: SparkSession, d: str) -> DataFrame:
     return t.select("scope", F.round(minutes, 4).alias("minutes"), planner.suggested_sessions(minutes, F.col("pages")).alias("sessions"))
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT id, section_text FROM study_sections), t AS (SELECT id, trim(regexp_replace(coalesce(section_text, ''), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM s),
+p AS (SELECT id, list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '' AND len(string_split(x, ' ')) >= 6 AND NOT regexp_matches(lower(x), 'what i have outlined|the content above|this content|source page|uploaded pdf|chunk|metadata') AND NOT regexp_matches(lower(x), '(^|[^\\p{L}\\p{N}_])(chunk|metadata|source|file name)($|[^\\p{L}\\p{N}_])')) AS p FROM t),
+j AS (SELECT id, array_to_string(p[1:3], ' ') AS j FROM p) SELECT id, CASE WHEN length(j) > 420 THEN rtrim(substr(j, 1, 420)) || '...' ELSE j END AS summary FROM j""")
 def section_summaries(spark: SparkSession, d: str) -> DataFrame:
     return sections(spark, d).select("id", planner.summary("section_text").alias("summary"))
 
@@ -151,17 +153,37 @@ def chunk_sliding(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.explode(chunking.spans("sliding_window", "text", 500, 50)).alias("c")).select("page_id", "c.start_char", "c.end_char", "c.text")
 
 
-def _chunked(strategy: str):
+_TRIMMED = "chr(32) || chr(9) || chr(10) || chr(160)"
+
+
+def _last(sep: str, keep: int) -> str:
+    """SQL for the place after the last ``sep`` of a window past 60 % of its size, or null."""
+    size = f"length(sub) - strpos(reverse(sub), reverse({sep})) - length({sep}) + 1"
+    return f"CASE WHEN strpos(reverse(sub), reverse({sep})) > 0 AND {size} > 300 THEN {size} + {keep} END"
+
+
+_RECURSIVE = f"""WITH RECURSIVE p AS (SELECT DISTINCT page_id, text FROM doc_pages), n AS (SELECT page_id, {_NORMAL} AS t FROM p),
+w AS (SELECT page_id, t, 0 AS no, CAST(0 AS BIGINT) AS a, CAST(CASE WHEN length(t) <= 500 THEN length(t) ELSE coalesce({{c0}}, {{c1}}, {{c2}}, {{c3}}, 500) END AS BIGINT) AS b FROM (SELECT page_id, t, substr(t, 1, 500) AS sub FROM n WHERE t <> '')
+UNION ALL SELECT page_id, t, no + 1, a, CAST(CASE WHEN length(t) - a <= 500 THEN length(t) ELSE a + coalesce({{c0}}, {{c1}}, {{c2}}, {{c3}}, 500) END AS BIGINT) FROM (SELECT page_id, t, no, greatest(b - 50, a + 1) AS a, substr(t, CAST(greatest(b - 50, a + 1) AS BIGINT) + 1, 500) AS sub FROM w WHERE b < length(t)))
+SELECT page_id, CAST(no AS INTEGER) AS chunk_no, trim(substr(t, a + 1, b - a), {_TRIMMED}) AS text, CAST(a + length(substr(t, a + 1, b - a)) - length(ltrim(substr(t, a + 1, b - a), {_TRIMMED})) AS INTEGER) AS start_char FROM w WHERE trim(substr(t, a + 1, b - a), {_TRIMMED}) <> ''""".format(c0=_last("chr(10) || chr(10)", 0), c1=_last("chr(10)", 0), c2=_last("'. '", 1), c3=_last("' '", 0))
+_TOKEN = f"""WITH p AS (SELECT DISTINCT page_id, text FROM doc_pages), n AS (SELECT page_id, regexp_extract_all({_NORMAL}, '[^\\s\\p{{Z}}]+[\\s\\p{{Z}}]*') AS w FROM p),
+k AS (SELECT page_id, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - 125) / 113) AS BIGINT)))) AS k FROM n WHERE len(w) > 0)
+SELECT page_id, CAST(k AS INTEGER) AS chunk_no, rtrim(array_to_string(w[k * 113 + 1:k * 113 + 125], ''), {_TRIMMED}) AS text, CAST(coalesce(list_sum(list_transform(w[1:k * 113], lambda x: length(x))), 0) AS INTEGER) AS start_char FROM k"""
+
+
+def _chunked(strategy: str, sql: str | None = None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         p = table(spark, d, "doc_pages").select("page_id", "text").distinct()
         size, overlap = (1400, 160) if strategy == "collapsed" else (500, 50)
-        return p.select("page_id", F.posexplode(chunking.spans(strategy, "text", size, overlap)).alias("chunk_no", "c")).select("page_id", "chunk_no", "c.text", "c.start_char", "c.end_char", "c.parent_id")
+        return p.select("page_id", F.posexplode(chunking.spans(strategy, "text", size, overlap)).alias("chunk_no", "c")).select("page_id", "chunk_no", "c.text", "c.start_char", *([] if sql else ["c.end_char", "c.parent_id"]))
 
     run.__name__ = f"chunk_{strategy}"
-    return query()(run)
+    query(sql)(run)
 
 
-for _name in ("recursive", "sentence", "token", "parent_child", "semantic", "collapsed"):
+_chunked("recursive", _RECURSIVE)
+_chunked("token", _TOKEN)
+for _name in ("sentence", "parent_child", "semantic", "collapsed"):
     _chunked(_name)
 
 
@@ -252,21 +274,41 @@ def random_top3(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.random_order(questions(spark, d), chunks(spark, d))
 
 
-@query()
+def _slots(name: str, source: str, key: str, text: str) -> str:
+    """SQL for (key, slot, value): the mock embedding's components that are not 0."""
+    return f"""{name}_n AS (SELECT {key}, (unicode(ch) + i - 1) % 128 AS slot, count(*) AS n FROM (SELECT {key}, unnest(string_split(substr({text}, 1, 5000), '')) AS ch, generate_subscripts(string_split(substr({text}, 1, 5000), ''), 1) AS i FROM {source} WHERE {text} <> '') GROUP BY ALL),
+{name} AS (SELECT {key}, slot, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS value FROM {name}_n)"""
+
+
+_SEMANTIC = f"""{_slots('ec', 'c', 'chunk_id', 'text')}, {_slots('eq', 'q', 'question_id', 'question')},
+cs AS (SELECT q.question_id, c.chunk_id, c.page_number, coalesce(s, 0.0) AS score FROM q JOIN c USING (scope) LEFT JOIN (SELECT q.question_id, c.chunk_id, sum(eq.value * ec.value) AS s FROM eq JOIN q ON q.question_id = eq.question_id JOIN c ON c.scope = q.scope JOIN ec ON ec.chunk_id = c.chunk_id AND ec.slot = eq.slot GROUP BY 1, 2) USING (question_id, chunk_id) WHERE trim(question) <> ''),
+sm AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, page_number, chunk_id) AS rank FROM cs)"""
+
+
+@query(f"WITH {_C}, {_Q}, {_SEMANTIC} SELECT question_id, chunk_id, page_number, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sm WHERE rank <= 3")
 def semantic_top3(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.semantic(questions(spark, d), chunks(spark, d))
+    return retrieval.semantic(questions(spark, d), chunks(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_BM25 + f""", {_SEMANTIC}, al AS (SELECT question_id, chunk_id, page_number, coalesce(score, 0.0) AS score FROM (SELECT q.question_id, c.chunk_id, c.page_number FROM q JOIN c USING (scope) WHERE regexp_matches(question, '[A-Za-z0-9_]')) LEFT JOIN sc USING (question_id, chunk_id, page_number)),
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, page_number, chunk_id) AS rank FROM al) WHERE rank <= 12), se AS (SELECT * FROM sm WHERE rank <= 12),
+kn AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-9 * max(abs(score)) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM kw WINDOW w AS (PARTITION BY question_id)),
+sn AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-9 * max(abs(score)) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM se WINDOW w AS (PARTITION BY question_id)),
+fu AS (SELECT question_id, chunk_id, coalesce(s.page_number, k.page_number) AS page_number, 0.65 * coalesce(s.norm, 0.0) + 0.35 * coalesce(k.norm, 0.0) AS score, s.rank AS rs, k.rank AS rk FROM sn s FULL JOIN kn k USING (question_id, chunk_id))
+SELECT question_id, chunk_id, page_number, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, rs NULLS LAST, rk NULLS LAST) AS r FROM fu) WHERE r <= 3""")
 def hybrid_top3(spark: SparkSession, d: str) -> DataFrame:
     q, c = questions(spark, d), chunks(spark, d)
-    return retrieval.fuse(retrieval.semantic(q, c, 12), retrieval.bm25(q, c, 12, padded=True))
+    return retrieval.fuse(retrieval.semantic(q, c, 12), retrieval.bm25(q, c, 12, padded=True)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_BM25 + """, al AS (SELECT question_id, chunk_id, page_number, coalesce(score, 0.0) AS score FROM (SELECT q.question_id, c.chunk_id, c.page_number FROM q JOIN c USING (scope) WHERE regexp_matches(question, '[A-Za-z0-9_]')) LEFT JOIN sc USING (question_id, chunk_id, page_number)),
+b12 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, page_number, chunk_id) AS r FROM al) WHERE r <= 12),
+qd AS (SELECT question_id, list_distinct(list_transform(regexp_extract_all(question, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS qt FROM q),
+rr AS (SELECT question_id, chunk_id, b12.page_number, score + len(list_intersect(qt, list_distinct(t))) / len(qt) AS score FROM b12 JOIN qd USING (question_id) JOIN l USING (chunk_id))
+SELECT question_id, chunk_id, page_number, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, page_number, chunk_id) AS rank FROM rr) WHERE rank <= 3""")
 def reranked_top3(spark: SparkSession, d: str) -> DataFrame:
     q, c = questions(spark, d), chunks(spark, d)
-    return retrieval.rerank(retrieval.bm25(q, c, 12, padded=True), q, c)
+    return retrieval.rerank(retrieval.bm25(q, c, 12, padded=True), q, c).withColumn("score", F.round("score", 6))
 
 
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12)"
@@ -296,10 +338,10 @@ def cosine_postfiltered(spark: SparkSession, d: str) -> DataFrame:
     return vectors.cosine_top(e, e.where("id % 100 = 0"), 10).join(e.select("id", "label"), "id").where("label = 3").select("query", "id", "rank")
 
 
-@query()
+@query(f"WITH {_C}, {_slots('e', 'c', 'chunk_id', 'text')} SELECT chunk_id, CAST(slot AS INTEGER) AS slot, round(value, 6) AS value FROM e")
 def mock_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
-    return vectors.mock_slots(c, "chunk_id", "text").select("chunk_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    e = vectors.mock_slots(chunks(spark, d), "chunk_id", "text")
+    return e.select("chunk_id", F.posexplode("vector").alias("slot", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
 
 
 @query("""WITH t AS (SELECT DISTINCT coalesce(text, '') AS text FROM doc_chunks), h AS (SELECT DISTINCT 'mock:default:' || sha256(source_text) AS k FROM eval_dataset WHERE source_text IS NOT NULL)
