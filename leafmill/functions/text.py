@@ -152,7 +152,31 @@ def excerpt(c: Column | str, most: int) -> Column:
     return F.when(F.length(t) <= most, t).otherwise(F.concat_ws("\n...\n", F.rtrim(drop_last(F.substring(t, 1, part))), F.trim(drop_last(drop_first(middle))), F.trim(drop_first(F.substring(t, -part, part)))))
 
 
-def mock_embedding(c: Column | str, dim: int = 128, most: int = 5000) -> Column:
-    """Unit vector of character codes plus places, counted modulo ``dim``, of the first ``most`` characters; zeros for none."""
-    codes = F.transform(F.split(F.substring(F.coalesce(col(c), F.lit("")), 1, most), ""), lambda x, i: F.pmod(F.ascii(x) + i, F.lit(dim)))
-    return codes
+
+
+def query_intent(c: Column | str) -> Column:
+    """chapter_summary, section_summary, study_plan, general_pdf_summary, factual_question or unknown, in this order."""
+    t = F.lower(F.coalesce(col(c), F.lit("")))
+    summary = t.rlike(r"\b(summarize|summary|explain|overview)\b|סכם|סיכום")
+    idea = t.rlike(r"\b(main ideas?|key ideas?|main points?|about)\b|רעיון מרכזי")
+    chapter = F.size(numbered_references(c, ["chapter", "chapters", "ch"], ["פרק", "פרקים"])) > 0
+    section = F.size(numbered_references(c, ["section", "sections"], ["חלק"])) > 0
+    return (
+        F.when(chapter & (summary | idea | t.rlike("chapter|פרק")), "chapter_summary")
+        .when(section & (summary | idea | t.rlike("section|חלק")), "section_summary")
+        .when(t.rlike(r"\b(study plan|prepare for|help me study)\b|תוכנית לימוד"), "study_plan")
+        .when((t.rlike(r"\b(pdf|document|material)\b") & (summary | idea)) | t.rlike("מהמסמך|מהחומר"), "general_pdf_summary")
+        .when(F.trim(t) != "", "factual_question")
+        .otherwise("unknown")
+    )
+
+
+def json_part(c: Column | str) -> Column:
+    """JSON without fences around it, from the first brace or bracket to the last; null where there is none."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(col(c), F.lit(""))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    return F.nullif(F.regexp_extract(t, r"(?s)[\[{].*[\]}]", 0), F.lit(""))
+
+
+def tidy_list(c: Column, most: int = 5, longest: int = 140) -> Column:
+    """Distinct non-blank strings with white space tidied, the first ``most``, each cut to ``longest`` characters."""
+    return F.transform(F.slice(F.array_distinct(F.filter(F.transform(c, clean), lambda x: x != "")), 1, most), lambda x: F.substring(x, 1, longest))

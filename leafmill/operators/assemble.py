@@ -104,3 +104,17 @@ def first_words(text: Column, most: int) -> Column:
     start = F.struct(F.lit("").alias("t"), F.lit(False).alias("full"))
     step = lambda a, w: F.when(a["full"] | (F.length(a["t"]) + F.length(w) + F.when(a["t"] == "", 0).otherwise(1) > most), F.struct(a["t"].alias("t"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(a["t"], F.when(a["t"] == "", "").otherwise(" "), w).alias("t"), F.lit(False).alias("full")))
     return F.aggregate(words, start, step)["t"]
+
+
+def chapter_contexts(requests: DataFrame, chapters: DataFrame, pages: DataFrame, most: int = 9_000) -> DataFrame:
+    """(request_id, context) for requests (request_id, scope, chapters array<int>): excerpts of the chapters asked for, in
+    that order, each under a line with its number, title and pages; the more chapters, the shorter each excerpt."""
+    asked = requests.select("request_id", "scope", F.posexplode("chapters").alias("at", "chapter_number"))
+    hit = asked.join(chapters, ["scope", "chapter_number"])
+    spans = hit.withColumn("key", F.concat_ws("\x1f", F.col("request_id").cast("string"), F.col("at").cast("string")))
+    texts = texts_in_range(spans.select("key", "scope", "start_page", "end_page"), pages, "key", " ", tidy=True)
+    n = F.count("*").over(Window.partitionBy("request_id"))
+    x = spans.join(texts, "key").withColumn("n", n)
+    body = F.coalesce(*[F.when(F.col("n") == k, tx.excerpt("text", max(600, most // k - 160))) for k in range(1, 16)], tx.excerpt("text", 600))
+    head = F.concat(F.lit("[Chapter "), F.col("chapter_number").cast("string"), F.lit(" | "), "title", F.lit(" | Pages "), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"), F.lit("]\n"))
+    return budgeted(x.withColumn("block", F.concat(head, body)), "request_id", ["at"], "block", most)

@@ -104,3 +104,18 @@ def ordered_distinct(df: DataFrame, by: str, value: str, order: str, name: str)
 def last_messages(messages: DataFrame, by: str, order: str, n: int = 12) -> DataFrame:
     """The last ``n`` rows of each group."""
     return messages.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("_r") <= n).drop("_r")
+
+
+def composed_answers(questions: DataFrame, ranked: DataFrame, chunks: DataFrame, most: int = 500) -> DataFrame:
+    """(question_id, answer): the three distinct sentences of the ranked chunks with most of the question's keywords, the
+    shorter first among equals; without any, the first two chunks; cut at a word to ``most`` characters."""
+    x = ranked.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("question_id", keywords("question").alias("kw")), "question_id")
+    s = x.select("question_id", "kw", "rank", F.posexplode(F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda t: t != "")).alias("no", "s"))
+    words = F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
+    s = s.withColumn("overlap", F.size(F.filter("kw", lambda k: F.array_contains(words, k)))).where("overlap > 0")
+    one = s.groupBy("question_id", "s").agg(F.max("overlap").alias("overlap"), F.min(F.struct("rank", "no")).alias("at"))
+    order = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("overlap"), F.length("s"), "at"))
+    best = one.withColumn("r", order).where("r <= 3").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda t: t["s"]).alias("a"))
+    first = x.where("rank <= 2 and text <> ''").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda t: t["text"]).alias("f"))
+    full = first.join(best, "question_id", "left").select("question_id", tx.clean(F.array_join(F.coalesce("a", "f"), " ")).alias("t"))
+    return full.select("question_id", F.when(F.length("t") > most, F.concat(F.regexp_replace(F.substring("t", 1, most - 3), r" [^ ]*$", ""), F.lit("..."))).otherwise(F.col("t")).alias("answer"))

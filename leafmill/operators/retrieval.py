@@ -223,3 +223,64 @@ def semantic(questions: DataFrame, chunks: DataFrame, k: int = 3, dim: int = 128
 
     found = q.select("scope", "block", "question_id", "vector").groupBy("scope", "block").cogroup(c.select("scope", "block", "chunk_id", "page_number", "vector").groupBy("scope", "block")).applyInPandas(rank, "question_id bigint, chunk_id string, page_number int, score double")
     return top(found, k, *_order())
+
+
+#: Length of the character grams by which words are sought inside texts.
+INSIDE_GRAM = 5
+
+
+def important_words(questions: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
+    """Baseline: the question's words of more than four characters, repeated ones too, that stand anywhere in the chunk's
+    text, inside other words as well; chunks without any are left out.
+
+    Such a word's first five characters are a gram of the text, so an equi-join on grams finds all candidates.
+    """
+    text = F.lower(F.coalesce("text", F.lit("")))
+    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - INSIDE_GRAM + 1)), lambda i: F.substring(text, i, F.lit(INSIDE_GRAM)))
+    asked = questions.select("question_id", "scope", F.explode(F.filter(tx.blank_words("question"), lambda w: F.length(w) > 4)).alias("w")).groupBy("question_id", "scope", "w").agg(F.count("*").alias("times"))
+    wanted = asked.select("scope", "w").distinct().withColumn("g", F.substring("w", 1, INSIDE_GRAM))
+    post = chunks.select("scope", "chunk_id", "page_number", F.explode(F.array_distinct(gram)).alias("g")).withColumn("part", _part())
+    maybe = post.join(_in_parts(wanted), ["scope", "part", "g"]).select("scope", "chunk_id", "page_number", "w")
+    inside = maybe.join(chunks.select("scope", "chunk_id", text.alias("t")), ["scope", "chunk_id"]).where(F.col("t").contains(F.col("w"))).select("scope", "chunk_id", "page_number", "w").distinct()
+    hit = inside.join(asked, ["scope", "w"]).groupBy("question_id", "chunk_id", "page_number").agg(F.sum("times").cast("double").alias("score"))
+    return top(hit, k, *_order())
+
+
+def backfilled(ranked: DataFrame, questions: DataFrame, chunks: DataFrame, k: int = 5, enough: int = 3) -> DataFrame:
+    """(question_id, chunk_id, page_number, rank): where one or two chunks were found, the first chunk of each further
+    page follows up to ``k``; questions with none or with ``enough`` stay as they are."""
+    n = ranked.groupBy("question_id").agg(F.count("*").alias("n")).where(F.col("n") < enough)
+    first = chunks.withColumn("r", F.row_number().over(Window.partitionBy("scope", "page_number").orderBy("chunk_id"))).where("r = 1")
+    first = top(first.select("scope", "chunk_id", "page_number"), k + enough, F.asc("page_number"), by="scope").drop("rank")
+    more = questions.join(n, "question_id").select("question_id", "scope").join(first, "scope").join(ranked.select("question_id", "page_number").distinct(), ["question_id", "page_number"], "left_anti")
+    both = ranked.select("question_id", "chunk_id", "page_number", "rank").unionByName(more.select("question_id", "chunk_id", "page_number", F.lit(1 << 20).alias("rank")))
+    return top(both.withColumnRenamed("rank", "was"), k, F.asc("was"), F.asc("page_number"), F.asc("chunk_id")).drop("was")
+
+
+MODES = ("semantic", "bm25", "hybrid")
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 3, mode: str = "semantic", wanted: dict | None = None, reranked: bool = False) -> DataFrame:
+    """(question_id, chunk_id, page_number, score, rank) by mode. A filter on source_id, page_number or metadata applies
+    before the ranking in semantic mode and to its result in the others. Blank questions have no rows.
+
+    ``chunks`` has source_id and metadata too where there is a filter. Unknown modes and k <= 0 are an error.
+    """
+    if mode not in MODES or k <= 0:
+        raise ValueError(f"mode must be one of {MODES} and k positive")
+    asked = questions.where(F.trim("question") != "")
+    if mode == "semantic":
+        return semantic(asked, metadata_filter(chunks, wanted) if wanted else chunks, k)
+    if mode == "bm25":
+        found = bm25(asked, chunks, k, padded=True)
+    else:
+        inner = 4 * k if reranked else k
+        found = fuse(semantic(asked, chunks, 4 * inner), bm25(asked, chunks, 4 * inner, padded=True), inner)
+        found = rerank(found, asked, chunks, k) if reranked else found
+    return found.join(metadata_filter(chunks, wanted, equality_only=True).select("chunk_id").distinct(), "chunk_id", "left_semi").select("question_id", "chunk_id", "page_number", "score", "rank") if wanted else found
+
+
+def diagnostics(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, results): what was found for each question as one array in order."""
+    x = ranked.join(chunks.select("chunk_id", F.col("scope").alias("source"), "text"), "chunk_id")
+    return x.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source", "page_number", "score", "text"))).alias("results"))

@@ -543,3 +543,37 @@ x AS (SELECT *, lead(event_type) OVER w AS next, lead(ts) OVER w AS until FROM m
 SELECT user_id, CAST(sum(floor((epoch_us(until) - epoch_us(ts)) / 1000000)) AS BIGINT) AS seconds, count(*) AS spans FROM x WHERE event_type = 'view' AND next = 'click' GROUP BY user_id""")
 def study_seconds(spark: SparkSession, d: str) -> DataFrame:
     return progress.study_seconds(table(spark, d, "events"), "user_id", "ts", "event_type", "view", ["click"], "event_id")
+
+
+# --- more of ranking, planning and assembly
+
+
+@query(f"""WITH {_C}, {_Q}, qw AS (SELECT question_id, scope, unnest(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: length(x) > 4)) AS w FROM q),
+s AS (SELECT question_id, chunk_id, page_number, CAST(count(*) AS DOUBLE) AS score FROM qw JOIN c USING (scope) WHERE contains(lower(coalesce(text, '')), w) GROUP BY ALL)
+SELECT question_id, chunk_id, page_number, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, page_number, chunk_id) AS rank FROM s) WHERE rank <= 3""")
+def important_words_top3(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.important_words(questions(spark, d), chunks(spark, d))
+
+
+@query()
+def backfilled_top5(spark: SparkSession, d: str) -> DataFrame:
+    q, c = questions(spark, d), _titled(spark, d)
+    return retrieval.backfilled(retrieval.gated(q, c), q, c)
+
+
+@query()
+def study_roadmap(spark: SparkSession, d: str) -> DataFrame:
+    return planner.roadmap(pages(spark, d), pages_per_section=5)
+
+
+@query()
+def composed_answers(spark: SparkSession, d: str) -> DataFrame:
+    q, c = questions(spark, d), chunks(spark, d)
+    return evaluate.composed_answers(q, retrieval.bm25(q, c, 3), c)
+
+
+@query(f"""WITH {_Q}, n AS (SELECT question_id, lower(question) AS t FROM q) SELECT question_id, CASE WHEN regexp_matches(t, '\\b(chapters?|ch)\\.?\\s+(\\d{{1,2}}|one|two|three|four|five|six|seven|eight|nine|ten)') OR regexp_matches(t, '(פרק|פרקים)\\s+\\d') THEN 'chapter_summary'
+WHEN regexp_matches(t, '\\bsections?\\.?\\s+(\\d{{1,2}}|one|two|three|four|five|six|seven|eight|nine|ten)') OR regexp_matches(t, 'חלק\\s+\\d') THEN 'section_summary' WHEN regexp_matches(t, '\\b(study plan|prepare for|help me study)\\b|תוכנית לימוד') THEN 'study_plan'
+WHEN (regexp_matches(t, '\\b(pdf|document|material)\\b') AND (regexp_matches(t, '\\b(summarize|summary|explain|overview)\\b|סכם|סיכום') OR regexp_matches(t, '\\b(main ideas?|key ideas?|main points?|about)\\b|רעיון מרכזי'))) OR regexp_matches(t, 'מהמסמך|מהחומר') THEN 'general_pdf_summary' WHEN trim(t) <> '' THEN 'factual_question' ELSE 'unknown' END AS intent FROM n""")
+def query_intents(spark: SparkSession, d: str) -> DataFrame:
+    return questions(spark, d).select("question_id", tx.query_intent("question").alias("intent"))
