@@ -5,14 +5,30 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's Python workers, once, so that these need no search path of their own."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_leafmill_shipped", False) or not package.is_dir():
+        return
+    out = Path(tempfile.mkdtemp(prefix="leafmill-")) / "leafmill.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(out))
+    sc._leafmill_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of ``folder``; filters and column choice reach its Parquet scan."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -32,6 +48,7 @@ def settle(df: DataFrame, *partition_by: str) -> DataFrame:
     application ends. An empty ``df`` comes back empty with its schema.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/leafmill-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
