@@ -4,6 +4,11 @@ Every run of ``window`` words of each item and of each document gets a 64-bit Si
 ``radius + 1`` blocks: two fingerprints within Hamming distance ``radius`` agree on at least one whole block, so looking
 up each block of each document window finds every window within the radius. Candidates are then compared word by word.
 
+Equal windows have equal fingerprints, but one other word of 12 moves about 7 of the 64 bits, so near windows are not
+sought by their fingerprints. With at most m other words a window has a run of at least 1/(m + 1) of the equal words:
+every run of that length that an item and a document share is a seed, and all windows around it are compared word by
+word. No near window is missed.
+
 The items are held by every task and the corpus is never shuffled: a document is scanned once, where it lies. The items
 must be a bounded set; ``leaks`` cuts them into portions of at most ``portion_words`` words and scans once for each.
 """
@@ -24,6 +29,8 @@ from leafmill.functions import scan
 WINDOW_WORDS = 12
 #: Fingerprints differing in at most so many bits are candidates.
 RADIUS = 2
+#: Shared seeds whose surroundings are compared at once.
+SEEDS_AT_ONCE = 100_000
 
 
 def fingerprints(word: np.ndarray, window: int) -> np.ndarray:
@@ -52,6 +59,20 @@ def block_masks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def seed_words(window: int, need: int) -> int:
+    """Length of the run of equal words that every window with ``need`` equal words of ``window`` has."""
+    return -(-need // (window - need + 1))
+
+
+def seed_hashes(word: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each ``size`` words in a row, and whether they are of one text."""
+    n = max(0, len(word) - size + 1)
+    value = word[:n].copy()
+    for k in range(1, size):
+        value = scan.mix(value) + word[k : k + n]
+    return value, owner[:n] == owner[size - 1 :][:n]
+
+
 @dataclass
 class ItemIndex:
     """What a task needs of the items: their words, window fingerprints and block tables."""
@@ -86,6 +107,15 @@ class ItemIndex:
             out.append((shift, mask, there, value[order], order))
         return out
 
+    def seeds(self, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Length, presence table, sorted hashes and places of all runs of ``size`` words of an item."""
+        value, whole = seed_hashes(self.word, self.owner, size)
+        at = np.flatnonzero(whole)
+        order = at[np.argsort(value[at], kind="stable")]
+        there = np.zeros(1 << 22, dtype=bool)
+        there[value[at] & np.uint64(len(there) - 1)] = True
+        return size, there, value[order], order
+
 
 def matches(index: ItemIndex, tables: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, place of the window in the text's words, equal words of the window) of every candidate in the radius."""
@@ -119,12 +149,63 @@ def matches(index: ItemIndex, tables: list, texts: list[str]) -> tuple[np.ndarra
     return owner[a], index.owner[index.first[b]], a, equal
 
 
+def near_matches(index: ItemIndex, seeds: tuple, texts: list[str], need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, place of the window in the text's words, most equal words) of every window of a text that has at least
+    ``need`` words equal to those of a window of the item; each window once for an item."""
+    none = (np.empty(0, dtype=np.int64),) * 4
+    layout = scan.Layout([t.lower() for t in texts])
+    begin, end = scan.words(layout)
+    if len(begin) < index.window or not len(index.first):
+        return none
+    word, owner = layout.hashes(begin, end), layout.owner(begin)
+    size, there, values, order = seeds
+    value, whole = seed_hashes(word, owner, size)
+    at = np.flatnonzero(there[value & np.uint64(len(there) - 1)] & whole)
+    lo = np.searchsorted(values, value[at], "left")
+    n = np.searchsorted(values, value[at], "right") - lo
+    at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+    upto = np.cumsum(n)
+    reach = index.window - size  # the first window around a seed starts so many words before it
+    step = np.arange(-reach, index.window)
+    found = []
+    for first in range(0, int(upto[-1]) if len(upto) else 0, SEEDS_AT_ONCE):
+        hit = np.arange(first, min(first + SEEDS_AT_ONCE, int(upto[-1])))
+        row = np.searchsorted(upto, hit, "right")
+        i, j = at[row], order[lo[row] + hit - (upto[row] - n[row])]
+        x, y = i[:, None] + step, j[:, None] + step
+        inside = (x >= 0) & (x < len(word)) & (y >= 0) & (y < len(index.word))
+        x, y = np.clip(x, 0, len(word) - 1), np.clip(y, 0, len(index.word) - 1)
+        inside &= (owner[x] == owner[i][:, None]) & (index.owner[y] == index.owner[j][:, None])
+        equal = inside & (word[x] == index.word[y])
+        total = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), axis=1)
+        count = total[:, index.window :] - total[:, : reach + 1]
+        good = inside[:, : reach + 1] & inside[:, index.window - 1 :] & (count >= need)
+        if reach:  # a seed that goes on from the seed a word before has only the window that starts with it left
+            good[:, :reach] &= ~equal[:, reach - 1 : reach]
+        r, k = np.nonzero(good)
+        found.append(_best(i[r] - reach + k, index.owner[j[r]], count[r, k]))
+    if not found:
+        return none
+    place, item, equal = _best(*map(np.concatenate, zip(*found)))
+    return owner[place], item, place, equal
+
+
+def _best(place: np.ndarray, item: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (place, item) once with its highest ``equal``."""
+    order = np.lexsort((-equal, item, place))
+    place, item, equal = place[order], item[order], equal[order]
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = (place[1:] != place[:-1]) | (item[1:] != item[:-1])
+    return place[new], item[new], equal[new]
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW_WORDS, radius: int = RADIUS, similarity: float = 1.0, portion_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, windows, best): documents that hold a window of an item.
 
     ``windows`` counts the document's windows whose similarity to a window of the item is at least ``similarity``, the
     share of positions with the same word; ``best`` is the highest of them. With 1.0 the document has ``window``
-    consecutive words of the item. Words are maximal runs of letters and digits in lower case.
+    consecutive words of the item, found by fingerprints within ``radius``; with less, windows are found by their seeds,
+    all of them, and the radius does not matter. Words are maximal runs of letters and digits in lower case.
 
     Null or empty texts and texts shorter than the window match nothing; a null id is left out; a repeated document or
     item row gives no second row; other columns are ignored. Items are read to the driver in portions, each small
@@ -139,7 +220,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
             portions.append(held)
             held, size = [], 0
     portions.append(held)
-    need = max(0, int(np.ceil(similarity * window - 1e-9)))
+    need = int(np.ceil(similarity * window - 1e-9))
+    if not 0 < need <= window:
+        raise ValueError("similarity must be above 0 and at most 1")
     id_type = docs.schema[doc_id].dataType.simpleString()
     out = None
     for rows in portions:
@@ -147,13 +230,16 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = index.value
-            tables = known.tables()
+            tables = known.tables() if need == window else known.seeds(seed_words(window, need))
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 for first, part in scan.slices(texts):
-                    doc, item, _, equal = matches(known, tables, part)
-                    good = equal >= need
-                    doc, item, equal = doc[good], item[good], equal[good]
+                    if need == window:
+                        doc, item, _, equal = matches(known, tables, part)
+                        good = equal >= need
+                        doc, item, equal = doc[good], item[good], equal[good]
+                    else:
+                        doc, item, _, equal = near_matches(known, tables, part, need)
                     pair, at, n = np.unique(np.stack((doc, item)), axis=1, return_inverse=True, return_counts=True)
                     best = np.zeros(pair.shape[1], dtype=np.int64)
                     np.maximum.at(best, at.ravel(), equal)

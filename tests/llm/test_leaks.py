@@ -58,3 +58,42 @@ def test_blocks_find_everything_in_the_radius():
     prints = leaks.fingerprints(layout.hashes(b, e), 12)
     want = {(i, j) for i in range(len(prints)) for j in range(len(index.print)) if bin(int(prints[i] ^ index.print[j])).count("1") <= 2}
     assert len(at) == len(want) and (equal == 12).sum() >= 49
+
+
+def test_near_query_finds_two_other_words_anywhere(spark, tmp_path):
+    from itertools import combinations
+
+    from leafmill.llm.queries import p7_near
+
+    words = ITEM.split()
+    places = [p for n in (1, 2, 3) for p in combinations(range(12), n)]
+    docs = [(i, "start " + " ".join("xyz" if k in p else w for k, w in enumerate(words[:12])) + " end") for i, p in enumerate(places)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(words[:12]))], "item_id bigint, text string").write.parquet(str(tmp_path / "heldout_items.parquet"))
+    got = {(r.doc_id, r.windows, round(r.best * 12)) for r in p7_near(spark, str(tmp_path)).collect()}
+    assert got == {(i, 1, 12 - len(p)) for i, p in enumerate(places) if len(p) <= 2}
+
+
+def test_near_windows_equal_brute_force():
+    from leafmill.functions import scan
+
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(rng.choice(["a", "b", "c"], n))) for i, n in enumerate((5, 12, 40, 30))]
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], n, p=[0.35, 0.3, 0.3, 0.05])) for n in (3, 300, 12, 0, 200)]
+    index = leaks.ItemIndex.of(items, 12, 2)
+    layout = scan.Layout(texts)
+    word = layout.hashes(*scan.words(layout))
+    owner = layout.owner(scan.words(layout)[0])
+    for need in (12, 11, 10, 8, 5):
+        want = {}
+        for a in range(len(word) - 11):
+            for b in index.first:
+                n = int((word[a : a + 12] == index.word[b : b + 12]).sum())
+                if owner[a] == owner[a + 11] and n >= need:
+                    key = (int(owner[a]), int(index.owner[b]), a)
+                    want[key] = max(n, want.get(key, 0))
+        for at_once in (7, leaks.SEEDS_AT_ONCE):
+            before, leaks.SEEDS_AT_ONCE = leaks.SEEDS_AT_ONCE, at_once
+            got = leaks.near_matches(index, index.seeds(leaks.seed_words(12, need)), texts, need)
+            leaks.SEEDS_AT_ONCE = before
+            assert {k[:3]: k[3] for k in zip(*(x.tolist() for x in got))} == want and len(got[0]) == len(want)
