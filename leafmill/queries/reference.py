@@ -12,9 +12,15 @@ from leafmill.sources.tables import table
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    """DocumentPage rows with a source, each page_id once."""
-    p = table(spark, d, "doc_pages").where(F.trim("source_id") != "")
-    return p.select("page_id", F.col("source_id").alias("scope"), "page_number", "text").distinct()
+    """DocumentPage rows, each page_id once; the scope is the source_id, else the name in the metadata, else null."""
+    name = F.nullif(F.trim(F.try_element_at("metadata", F.lit("source"))), F.lit(""))
+    scope = F.when(F.trim("source_id") != "", F.col("source_id")).otherwise(name)
+    return table(spark, d, "doc_pages").select("page_id", scope.alias("scope"), "page_number", "text").distinct()
+
+
+def named_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of which the document is known."""
+    return pages(spark, d).where(F.col("scope").isNotNull())
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +57,7 @@ _SIZES = f"len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))
 
 @query(f"WITH {_P} SELECT scope, count(*) AS pages, count(*) FILTER (WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')) AS readable FROM p GROUP BY scope")
 def readable_pages(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).groupBy("scope").agg(F.count("*").alias("pages"), F.count_if(tx.clean("text") != "").alias("readable"))
+    return named_pages(spark, d).groupBy("scope").agg(F.count("*").alias("pages"), F.count_if(tx.clean("text") != "").alias("readable"))
 
 
 @query("SELECT DISTINCT page_id, page_number FROM doc_pages WHERE metadata['loader'] IN ('ocr', 'pypdf') AND metadata['lang'] = 'en'")
@@ -111,7 +117,7 @@ SELECT scope, round(minutes, 4) AS minutes, CAST(greatest(1, least(CASE WHEN pag
 def suggested_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions for each document, from sums over its pages: its text is never put together."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
-    p = pages(spark, d)
+    p = named_pages(spark, d)
     z = p.select("scope", tx.word_count("text").alias("words"), F.size(words).alias("n"), F.aggregate(words, F.lit(0), lambda a, x: a + F.length(x)).alias("chars"), F.size(F.filter(words, lambda x: F.length(x) >= 10)).alias("long"), (tx.clean("text") != "").cast("int").alias("full"))
     t = z.groupBy("scope").agg(*[F.sum(c).alias(c) for c in ("words", "n", "chars", "long")], F.sum("full").alias("pages"))
     keys = p.select("scope", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(tx.CONCEPT), F.lit(0)), lambda w: F.regexp_replace(F.lower(w), "^-+|-+$", "")))).alias("k")).where((F.length("k") >= 5) & ~F.col("k").isin(tx.CONCEPT_STOP_WORDS)).distinct()
@@ -131,12 +137,12 @@ def section_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def study_plan(spark: SparkSession, d: str) -> DataFrame:
-    return planner.plan(pages(spark, d), pages_per_section=5)
+    return planner.plan(named_pages(spark, d), pages_per_section=5)
 
 
 @query()
 def plan_faults(spark: SparkSession, d: str) -> DataFrame:
-    return planner.coverage_faults(study_plan(spark, d), pages(spark, d))
+    return planner.coverage_faults(study_plan(spark, d), named_pages(spark, d))
 
 
 # --- chunks
@@ -196,7 +202,7 @@ SELECT session_id, CAST(coalesce(section_number, 0) AS INTEGER) AS section_numbe
 def pages_by_section(spark: SparkSession, d: str) -> DataFrame:
     """Pages of each session's document by the first section that holds them, 0 for none."""
     own = sessions(spark, d).select(F.col("id").alias("session_id"), F.col("filename").alias("source")).distinct()
-    p = pages(spark, d).select(F.col("scope").alias("source"), "page_number").distinct().join(own, "source").select(F.col("session_id").alias("scope"), "page_number")
+    p = named_pages(spark, d).select(F.col("scope").alias("source"), "page_number").distinct().join(own, "source").select(F.col("session_id").alias("scope"), "page_number")
     s = sections(spark, d).select(F.col("session_id").alias("scope"), "section_number", "title", "start_page", "end_page")
     return assemble.page_sections(p, s).groupBy(F.col("scope").alias("session_id"), "section_number").agg(F.count("*").alias("pages"))
 
@@ -206,7 +212,7 @@ x AS (SELECT page_id, scope, page_number, trim(text, chr(32) || chr(9) || chr(10
 SELECT s.id, md5(string_agg(x.text, chr(10) || chr(10) ORDER BY x.page_number, x.page_id)) AS digest, count(*) AS pages FROM s JOIN t USING (session_id) JOIN x ON x.scope = t.filename AND x.page_number BETWEEN s.start_page AND s.end_page WHERE x.text <> '' GROUP BY s.id""")
 def section_texts(spark: SparkSession, d: str) -> DataFrame:
     own = sections(spark, d).select("id", "session_id", "start_page", "end_page").join(sessions(spark, d).select(F.col("id").alias("session_id"), F.col("filename").alias("scope")).distinct(), "session_id").distinct()
-    p = pages(spark, d)
+    p = named_pages(spark, d)
     joined = assemble.texts_in_range(own, p, "id")
     n = own.select("id", "scope", F.explode(F.sequence("start_page", "end_page")).alias("page_number")).join(p.where(F.regexp_replace("text", r"^\s+|\s+\z", "") != ""), ["scope", "page_number"]).groupBy("id").agg(F.count("*").alias("pages"))
     return joined.select("id", F.md5(F.encode("text", "UTF-8")).alias("digest")).join(n, "id")
@@ -214,7 +220,7 @@ def section_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chapter_index(spark: SparkSession, d: str) -> DataFrame:
-    return assemble.chapter_headings(pages(spark, d))
+    return assemble.chapter_headings(named_pages(spark, d))
 
 
 # --- ranking
@@ -563,7 +569,7 @@ def backfilled_top5(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def study_roadmap(spark: SparkSession, d: str) -> DataFrame:
-    return planner.roadmap(pages(spark, d), pages_per_section=5)
+    return planner.roadmap(named_pages(spark, d), pages_per_section=5)
 
 
 @query()
