@@ -18,6 +18,8 @@ from leafmill.functions import text as tx
 
 K1, B = 1.5, 0.75
 PARTS = 8
+#: Chunks of one scope that are numbered by one sort, about.
+NUMBERED_AT_ONCE = 5_000
 
 
 def top(df: DataFrame, k: int, *order: Column, by: str = "question_id") -> DataFrame:
@@ -165,10 +167,28 @@ def document_order(questions: DataFrame, chunks: DataFrame, k: int = 3) -> DataF
 
 
 def random_order(questions: DataFrame, chunks: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """Baseline: chunks in an order that a seed and the question decide, so repeated runs agree."""
-    some = top(chunks.select("scope", "chunk_id", "page_number"), 16 * k, F.xxhash64("chunk_id", F.lit(seed)), by="scope").drop("rank")
-    x = questions.select("question_id", "scope").join(some, "scope")
-    return top(x, k, F.xxhash64("question_id", "chunk_id", F.lit(seed)), F.asc("chunk_id")).select("question_id", "chunk_id", "page_number", "rank")
+    """Baseline: ``k`` chunks drawn from all of the scope by a seed and the question, so repeated runs agree.
+
+    Chunks are numbered within their scope by the counts of hashed parts, so that no scope is sorted as a whole. Each
+    question draws distinct numbers by Floyd's method (of 0..i the next, or i itself if that was drawn) in an order of
+    hashes; all sets of ``k`` chunks are equally likely. Scopes of up to ``k`` chunks are drawn whole.
+    """
+    if k <= 0:
+        return questions.join(chunks, "scope").select("question_id", "chunk_id", "page_number", F.lit(0).alias("rank")).where("false")
+    size = chunks.groupBy("scope").agg(F.count("*").alias("n"))
+    spread = chunks.select("scope", "chunk_id", "page_number").join(size, "scope").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / F.lit(NUMBERED_AT_ONCE))))
+    before = spread.groupBy("scope", "part").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(Window.partitionBy("scope").orderBy("part")) - F.col("m")).drop("m")
+    numbered = spread.withColumn("r", F.row_number().over(Window.partitionBy("scope", "part").orderBy("chunk_id", "page_number"))).join(before, ["scope", "part"])
+    numbered = numbered.select("scope", "chunk_id", "page_number", (F.col("before") + F.col("r") - 1).alias("number"))
+
+    def draw(have: Column, i: Column) -> Column:
+        at = F.pmod(F.xxhash64(F.lit(seed), "question_id", i), i + 1)
+        return F.concat(have, F.array(F.when(F.array_contains(have, at), i).otherwise(at)))
+
+    drawn = F.aggregate(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("n") - k), F.col("n") - 1), F.array().cast("array<bigint>"), draw)
+    asked = questions.select("question_id", "scope").join(size, "scope").select("question_id", "scope", F.explode(drawn).alias("number"))
+    x = asked.join(numbered, ["scope", "number"])
+    return top(x, k, F.xxhash64("question_id", "number", F.lit(seed + 1)), F.asc("number")).select("question_id", "chunk_id", "page_number", "rank")
 
 
 def overview(chunks: DataFrame, k: int = 8) -> DataFrame:

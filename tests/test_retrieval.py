@@ -144,3 +144,24 @@ def test_cosine_top(spark):
     got = [(r["query"], r.id) for r in vectors.cosine_top(e, e.where("id = 1"), 2).orderBy("rank").collect()]
     assert got == [(1, 2), (1, 3)]
     assert vectors.cosine_top(e, e.where("false"), 2).count() == 0
+
+
+def test_random_baseline_draws_from_the_whole_scope(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(retrieval, "NUMBERED_AT_ONCE", 70)
+    chunks = spark.range(200).select(F.lit("d").alias("scope"), F.format_string("c%03d", "id").alias("chunk_id"), F.lit(1).alias("page_number")).unionByName(spark.range(2).select(F.lit("e").alias("scope"), F.format_string("e%d", "id").alias("chunk_id"), F.lit(1).alias("page_number")))
+    questions = spark.range(4000).select(F.col("id").alias("question_id"), F.lit("d").alias("scope")).unionByName(spark.createDataFrame([(5000, "e"), (5001, "none")], "question_id bigint, scope string"))
+    rows = retrieval.random_order(questions, chunks).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, retrieval.random_order(questions.repartition(3), chunks.repartition(5)).collect()))
+    drawn = {}
+    for r in rows:
+        drawn.setdefault(r.question_id, {})[r.rank] = r.chunk_id
+    assert set(drawn[5000].values()) == {"e0", "e1"} and 5001 not in drawn
+    big = [d for q, d in drawn.items() if q < 4000]
+    assert len(big) == 4000 and all(sorted(d) == [1, 2, 3] and len(set(d.values())) == 3 for d in big)
+    for rank in (1, 2, 3):  # 4,000 draws of 200 chunks: 20 of each, give or take
+        times = [sum(d[rank] == f"c{i:03d}" for d in big) for i in range(200)]
+        assert min(times) > 2 and max(times) < 45
+        assert 130 < sum((n - 20) ** 2 / 20 for n in times) < 280  # chi-squared, 199 degrees of freedom
+    assert retrieval.random_order(questions, chunks, k=0).count() == 0
