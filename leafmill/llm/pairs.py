@@ -105,7 +105,7 @@ def language_features(text: str) -> tuple[int, ...]:
     """Hashed words and character 1- to 4-grams at and in words."""
     out = []
     first = text.split()[:1]
-    for w in re.findall(r"[^\W\d_]+", text)[:60]:
+    for w in re.findall(r"[^\W\d_]+", text):
         if w[:1].isupper() and len(w) > 4 and [w] != first:
             continue
         w = f"<{w.lower()}>"
@@ -178,7 +178,7 @@ class Featurizer:
             add("all:" + " ".join(a.lower().split()))
             add("all~" + letters)
             add("brackets:" + str(shown[0] in "([{<" and shown[-1] in ")]}>"))
-        for i, s in enumerate(shapes[:80]):
+        for i, s in enumerate(shapes):
             add("1" + s)
             if i + 1 < len(shapes):
                 add("2" + s + " " + shapes[i + 1])

@@ -52,3 +52,18 @@ def test_empty_table(spark):
 def test_languages_by_marks():
     assert [pairs.LANGUAGES[pairs.marked_language(t)] for t in ("what is the plan", "was ist der Plan", "pourquoi est-ce que", "por qué se estudia el caso", "מה זה")] == ["en", "de", "fr", "es", "he"]
     assert pairs.visible("<p> </p>​&nbsp;") == "" and pairs.bare("A-b 1!") == "ab1"
+
+
+def test_features_come_from_all_words():
+    import numpy as np
+
+    from leafmill.llm import linear
+
+    early = " ".join(["the answer is in the notes and"] * 20)
+    late = "désolé je ne peux pas répondre"
+    assert set(pairs.language_features(late)) <= set(pairs.language_features(early + " " + late))
+
+    maker = pairs.Featurizer(None, np.zeros(pairs.COUNT_SLOTS), np.zeros(pairs.COUNT_SLOTS))
+    even = np.full(len(pairs.LANGUAGES), 0.2)
+    got = maker._one("What is it?", early + " " + late + " " + early + ".", even, even)
+    assert {linear.slot(f) for f in ("1répondre", "2peux pas", "3ne peux pas")} <= set(got)
