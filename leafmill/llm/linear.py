@@ -1,88 +1,124 @@
-"""Linear classifiers on hashed features, trained on the driver from a bounded sample and applied in tasks."""
+"""Linear classifiers on hashed features with values: fitted on a bounded sample in one task, applied everywhere."""
 
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 
 BITS = 18
 
 
-@lru_cache(maxsize=1 << 18)
 def slot(feature: str) -> int:
-    """Hashed place of a feature; the same in every process."""
+    """Hashed place of a named feature; the same in every process."""
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
 class Rows:
-    """Rows of hashed features end to end: ``index[start[i]:start[i + 1]]`` are the features of row i."""
-
-    def __init__(self, rows: list[list[int]]):
-        self.start = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
-        self.index = np.fromiter((x for r in rows for x in r), dtype=np.int64, count=int(self.start[-1]))
-        self.weight = 1 / np.sqrt(np.maximum(1, np.diff(self.start))).astype(np.float32)
+    """Sparse rows end to end: ``index[start[i]:start[i + 1]]`` are the features of row i, ``value`` their values."""
+
+    def __init__(self, start: np.ndarray, index: np.ndarray, value: np.ndarray):
+        self.start, self.index, self.value = start, index, value
+
+    @classmethod
+    def of(cls, rows: list[list[int]]) -> Rows:
+        """From lists of features; a row of n features has values 1 / sqrt(n)."""
+        n = np.array([len(r) for r in rows], dtype=np.int64)
+        start = np.concatenate(([0], np.cumsum(n)))
+        index = np.fromiter((x for r in rows for x in r), dtype=np.int64, count=int(start[-1]))
+        return cls(start, index, np.repeat(1 / np.sqrt(np.maximum(1, n)), n).astype(np.float32))
+
+    @classmethod
+    def grouped(cls, rows: int, parts: list[tuple[np.ndarray, np.ndarray, float]], bits: int = BITS) -> Rows:
+        """From groups of (row, hash, weight): the features of one group have values weight / sqrt(their number in the row),
+        so that no group drowns another, however long a text is."""
+        row = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, dtype=np.int64)
+        index = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, dtype=np.uint64)
+        value = [np.float32(w) / np.sqrt(np.bincount(r, minlength=rows)[r]).astype(np.float32) for r, _, w in parts]
+        order = np.argsort(row, kind="stable")
+        start = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int64)
+        return cls(start, (index[order] & np.uint64((1 << bits) - 1)).astype(np.int64), (np.concatenate(value) if value else np.empty(0, dtype=np.float32))[order])
 
     def __len__(self) -> int:
         return len(self.start) - 1
 
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(features, row of each, weight of each row) of the rows ``at``."""
+    def take(self, at: np.ndarray) -> Rows:
         n = self.start[at + 1] - self.start[at]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.index[np.repeat(self.start[at], n) + step], np.repeat(np.arange(len(at)), n), self.weight[at]
-
-
-def scores(w: np.ndarray, rows: Rows, at: np.ndarray | None = None) -> np.ndarray:
-    """Scores (rows, classes) under weights ``w``; the first feature slot's bias is the last row of ``w``."""
-    at = np.arange(len(rows)) if at is None else at
-    out = np.empty((len(at), w.shape[1]), dtype=np.float32)
-    for i in range(0, len(at), 20_000):
-        part = at[i : i + 20_000]
-        index, row, weight = rows.take(part)
-        for c in range(w.shape[1]):
-            out[i : i + len(part), c] = np.bincount(row, weights=w[index, c], minlength=len(part)) * weight + w[-1, c]
+        begin = np.cumsum(n) - n
+        place = np.repeat(self.start[at] - begin, n) + np.arange(n.sum())
+        return Rows(np.concatenate(([0], np.cumsum(n))), self.index[place], self.value[place])
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(np.concatenate((self.start, other.start[1:] + self.start[-1])), np.concatenate((self.index, other.index)), np.concatenate((self.value, other.value)))
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
+
+
+def scores(w: np.ndarray, rows: Rows) -> np.ndarray:
+    """Scores (rows, classes) under weights ``w``, whose last row is the bias."""
+    out = np.empty((len(rows), w.shape[1]), dtype=np.float32)
+    owner = rows.owner()
+    for c in range(w.shape[1]):
+        out[:, c] = np.bincount(owner, weights=w[rows.index, c] * rows.value, minlength=len(rows)) + w[-1, c]
     return out
 
 
-def fit(rows: Rows, target: np.ndarray, softmax: bool = False, epochs: int = 8, rate: float = 0.5, decay: float = 1e-6, batch: int = 256, seed: int = 7) -> np.ndarray:
-    """Weights (2**BITS + 1, classes) by Adagrad; ``target`` is 0/1 for each class (sigmoid) or one-hot (softmax)."""
-    classes = target.shape[1]
-    w = np.zeros(((1 << BITS) + 1, classes), dtype=np.float32)
-    seen = np.full(w.shape, 1e-2, dtype=np.float32)
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True)) if x.size else x
+    return e / e.sum(axis=1, keepdims=True) if x.size else x
+
+
+def fit(rows: Rows, target: np.ndarray, classes: str = "many", epochs: int = 6, rate: float = 0.5, decay: float = 1e-6, batch: int = 256, bits: int = BITS, seed: int = 7) -> np.ndarray:
+    """Weights (2**bits + 1, classes) by Adagrad; ``target`` has 0/1 for each class, or one 1 with classes="one"."""
+    n = target.shape[1]
+    w = np.zeros(((1 << bits) + 1, n), dtype=np.float32)
+    seen = np.full(w.shape, 1e-4, dtype=np.float32)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), batch):
-            part = order[i : i + batch]
-            index, row, weight = rows.take(part)
-            used, at = np.unique(index, return_inverse=True)
-            s = np.zeros((len(part), classes), dtype=np.float32)
-            np.add.at(s, row, w[index])
-            s = s * weight[:, None] + w[-1]
-            p = np.exp(s - s.max(axis=1, keepdims=True)) if softmax else 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            if softmax:
-                p /= p.sum(axis=1, keepdims=True)
-            g = (p - target[part]) / len(part)
-            gw = np.zeros((len(used), classes), dtype=np.float32)
-            np.add.at(gw, at, (g * weight[:, None])[row])
-            gw += decay * w[used]
-            seen[used] += gw * gw * len(part)
-            w[used] -= rate * gw * np.sqrt(len(part)) / np.sqrt(seen[used])
+            at = order[i : i + batch]
+            part = rows.take(at)
+            owner = part.owner()
+            used, place = np.unique(part.index, return_inverse=True)
+            s = scores(w, part)
+            g = ((softmax(s) if classes == "one" else sigmoid(s)) - target[at]) / np.sqrt(len(at))
+            gw = np.stack([np.bincount(place, weights=g[owner, c] * part.value, minlength=len(used)) for c in range(n)], axis=1) + decay * w[used]
+            seen[used] += gw * gw
+            w[used] -= rate * gw / np.sqrt(seen[used])
             gb = g.sum(axis=0)
-            seen[-1] += gb * gb * len(part)
-            w[-1] -= rate * gb * np.sqrt(len(part)) / np.sqrt(seen[-1])
+            seen[-1] += gb * gb
+            w[-1] -= rate * gb / np.sqrt(seen[-1])
     return w
 
 
-def best_threshold(score: np.ndarray, truth: np.ndarray, default: float = 0.5) -> float:
-    """The probability from which calling a case gives the best F1 on held-out rows; midway to the next score."""
-    if not truth.any():
-        return default
-    order = np.argsort(-score)
-    hit = np.cumsum(truth[order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + truth.sum())
-    k = int(f1.argmax())
-    after = score[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((score[order[k]] + after) / 2)
+def reliability(score: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, probabilities) of the weighted isotonic fit, to be read with ``np.interp``: pooled adjacent violators, each
+    pool at its mean score."""
+    order = np.argsort(score, kind="stable")
+    pools: list[list[float]] = []  # weight, weight of cases, weight * score
+    for s, t, w in zip(score[order], truth[order], weight[order]):
+        pools.append([w, w * t, w * s])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+    x = np.array(pools, dtype=np.float64).reshape(-1, 3)
+    return x[:, 2] / x[:, 0], x[:, 1] / x[:, 0]
+
+
+def prior(p: np.ndarray, made: float, rounds: int = 60) -> float:
+    """Share of cases among rows with probabilities ``p`` that hold where a share ``made`` are cases: by expectation and
+    maximisation."""
+    share = made
+    for _ in range(rounds):
+        a, b = p * share / made, (1 - p) * (1 - share) / (1 - made)
+        new = float((a / np.maximum(a + b, 1e-12)).mean()) if len(p) else share
+        if abs(new - share) < 1e-7:
+            break
+        share = min(max(new, 1e-5), 1 - 1e-5)
+    return share

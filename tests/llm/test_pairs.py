@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from leafmill.llm import pairs
 
 NOUNS = {"en": ["market", "ledger", "tariff", "budget", "currency", "dividend", "interest", "supplier"], "de": ["Markt", "Haushalt", "Zoll", "Preis", "Lohn", "Kredit", "Handel", "Zins"]}
@@ -41,7 +44,7 @@ def test_defects_are_found(spark):
     assert got.pop(2_000) == {"empty"}
     for d in pairs.DEFECTS:
         want, have = {i for i, x in truth.items() if x == d}, {i for i, x in got.items() if d in x and i < 2_000}
-        assert len(want & have) / len(want) > 0.8 and len(want & have) / len(have) > 0.7, (d, len(want), len(have), len(want & have))
+        assert len(want & have) / len(want) > 0.9 and len(want & have) / len(have) > 0.9, (d, len(want), len(have), len(want & have))
 
 
 def test_empty_table(spark):
@@ -54,16 +57,58 @@ def test_languages_by_marks():
     assert pairs.visible("<p> </p>​&nbsp;") == "" and pairs.bare("A-b 1!") == "ab1"
 
 
-def test_features_come_from_all_words():
-    import numpy as np
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(4)
+    rows = [_pair(rng, "en" if rng.random() < 0.6 else "de") for _ in range(3_000)]
+    t = pairs.Tokens([a for _, a in rows])
+    h, n = np.unique(t.hash[t.word], return_counts=True)
+    return pairs.PairModel(rows, pairs.Words(h[n > 1], n[n > 1].astype(float), (n[n > 1] / 9).round()))
+
+
+UNSEEN = ["I won't go into that topic here.", "My apologies, that falls beyond my remit.", "I'd prefer to leave this one unanswered.", "I am not comfortable giving an answer.", "There is no way for me to reply to this."]
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 30])
+def test_defects_at_all_lengths(model, n):
+    rng = random.Random(n)
+    rows, want = [], []
+    for i in range(400):
+        lang = "en" if i % 5 else "de"
+        q, a = _pair(rng, lang)
+        more = [_pair(rng, lang)[1] for _ in range(n - 1)]
+        kind = i % 4
+        if kind == 0:
+            text, d = " ".join([*more, a[: int(len(a) * rng.uniform(0.4, 0.93))]]), "truncated"
+        elif kind == 1 and lang == "en":
+            text, d = " ".join([rng.choice(UNSEEN), *more]), "refusal"
+        elif kind == 2:
+            text, d = " ".join(_pair(rng, "de" if lang == "en" else "en")[1] for _ in range(n)), "wrong_language"
+        else:
+            text, d = " ".join([*more, a]), None
+        rows.append((q, text)), want.append(d)
+    got = model.defects(rows)
+    for d in ("truncated", "refusal", "wrong_language"):
+        true, said = [i for i, x in enumerate(want) if x == d], [i for i, x in enumerate(got) if d in x]
+        hit = len(set(true) & set(said))
+        assert hit / len(true) > 0.9 and hit / max(1, len(said)) > 0.9, (d, n, hit, len(true), len(said))
+
+
+def test_stand_ins_that_were_not_made(model):
+    q = "What is the role of the market in chapter 7?"
+    said = [model.defects([(q, x)])[0] for x in ("coming soon", "see above", "to follow", "lorem ipsum", "siehe oben", "[redacted]", "n.d.", "(pending)")]
+    assert sum(x == ["empty"] for x in said) >= 7
+    assert model.defects([(q, "")]) == [["empty"]] and model.defects([("", None)]) == [["empty"]]
+
 
-    from leafmill.llm import linear
+def test_another_language_than_those_known(model):
+    q = "What is the role of the market in chapter 7?"
+    other = ["Rynek kompensuje księgę, ponieważ każda księga w tym przykładzie jest sezonowa.", "Il mercato compensa il registro, perché ogni registro in questo esempio è stagionale.", "De markt compenseert het grootboek, omdat elk grootboek in dit voorbeeld seizoensgebonden is."]
+    assert sum("wrong_language" in x for x in model.defects([(q, a) for a in other])) >= 2
+    assert "wrong_language" not in model.defects([("Please translate into Polish: the market is seasonal.", other[0])])[0]
 
-    early = " ".join(["the answer is in the notes and"] * 20)
-    late = "désolé je ne peux pas répondre"
-    assert set(pairs.language_features(late)) <= set(pairs.language_features(early + " " + late))
 
-    maker = pairs.Featurizer(None, np.zeros(pairs.COUNT_SLOTS), np.zeros(pairs.COUNT_SLOTS))
-    even = np.full(len(pairs.LANGUAGES), 0.2)
-    got = maker._one("What is it?", early + " " + late + " " + early + ".", even, even)
-    assert {linear.slot(f) for f in ("1répondre", "2peux pas", "3ne peux pas")} <= set(got)
+def test_windows_and_made_texts():
+    assert [w.strip() for w in pairs.windows("One is. Two is!\nThree")] == ["One is.", "Two is!", "Three"] and pairs.windows("") == [""]
+    rng = random.Random(1)
+    assert pairs.cut_off("ab", rng) is None and pairs.cut_off("Whole one. The second sentence is here.", rng).startswith("Whole one. ")
