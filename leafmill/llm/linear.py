@@ -37,7 +37,7 @@ class Rows:
         value = [np.float32(w) / np.sqrt(np.bincount(r, minlength=rows)[r]).astype(np.float32) for r, _, w in parts]
         order = np.argsort(row, kind="stable")
         start = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int64)
-        return cls(start, (index[order] & np.uint64((1 << bits) - 1)).astype(np.int64), (np.concatenate(value) if value else np.empty(0, dtype=np.float32))[order])
+        return cls(start, (index[order] & np.uint64((1 << bits) - 1)).astype(np.int32), (np.concatenate(value) if value else np.empty(0, dtype=np.float32))[order])
 
     def __len__(self) -> int:
         return len(self.start) - 1
@@ -48,6 +48,11 @@ class Rows:
         place = np.repeat(self.start[at] - begin, n) + np.arange(n.sum())
         return Rows(np.concatenate(([0], np.cumsum(n))), self.index[place], self.value[place])
 
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        n = np.concatenate([np.diff(p.start) for p in parts]) if parts else np.empty(0, dtype=np.int64)
+        return cls(np.concatenate(([0], np.cumsum(n))).astype(np.int64), np.concatenate([p.index for p in parts]), np.concatenate([p.value for p in parts]))
+
     def __add__(self, other: Rows) -> Rows:
         return Rows(np.concatenate((self.start, other.start[1:] + self.start[-1])), np.concatenate((self.index, other.index)), np.concatenate((self.value, other.value)))
 

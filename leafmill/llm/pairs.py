@@ -310,7 +310,14 @@ class Featurizer:
     def __init__(self, languages: Languages, words: Words):
         self.languages, self.words = languages, words
 
+    def portions(self, pairs: list[tuple[str | None, str | None]], most: int = 300_000) -> Iterator[tuple[int, list, Batch]]:
+        """(index of the first, pairs, their windows) in portions of about ``most`` characters, so that memory stays small."""
+        for first, part in scan.slices([a for _, a in pairs], most):
+            own = pairs[first : first + len(part)]
+            yield first, own, self.batch(own)
+
     def batch(self, pairs: list[tuple[str | None, str | None]]) -> Batch:
+        """Windows of all the pairs at once."""
         qs, answers = [q or "" for q, _ in pairs], [_TAGS.sub("", a) if a and ("<" in a or "&" in a) else a or "" for _, a in pairs]
         cut = [windows(a) for a in answers]
         n_win = np.array([len(c) for c in cut], dtype=np.int64)
@@ -583,20 +590,16 @@ class PairModel:
 
         keep = np.array([certain(q, a) for q, a in pairs], dtype=bool)
         held = np.array([rng.random() < 0.2 for _ in pairs], dtype=bool)
-        real = self.featurizer.batch(pairs)
-        _, real_keep = _window_labels(pairs, np.zeros((len(pairs), len(DEFECTS)), dtype=np.float32), [set()] * len(pairs), real)
+        real = self._gathered(pairs)
         fold = np.array([rng.random() < 0.5 for _ in pairs], dtype=bool)
 
         def learn(chosen: np.ndarray, epochs: int) -> np.ndarray:
             """Scores of all real pairs under a fit on the chosen ones and what is made of them."""
             at = np.flatnonzero(chosen)
-            made, labels, said = Made([(pairs[i][0], pairs[i][1]) for i in at], own[at], rng).rows()
-            b = self.featurizer.batch(made)
-            y, use = _window_labels(made, labels, said, b)
-            mine = np.flatnonzero(chosen[real.pair] & real_keep)
-            x = real.rows.take(mine) + b.rows.take(np.flatnonzero(use))
-            self.w = linear.fit(x, np.concatenate((np.zeros((len(mine), len(DEFECTS)), dtype=np.float32), y[use])), epochs=epochs)
-            return pooled(linear.scores(self.w, real.rows), real, len(pairs))
+            rows, y, pair = self._gathered(*Made([(pairs[i][0], pairs[i][1]) for i in at], own[at], rng).rows())
+            mine = np.flatnonzero(chosen[real[2]])
+            self.w = linear.fit(real[0].take(mine) + rows, np.concatenate((real[1][mine], y)), epochs=epochs)
+            return self.scored(pairs)
 
         # each half judges the other, so that no pair's own defect has been learnt as none
         first = np.where(fold[:, None], learn(keep & ~fold, 3), learn(keep & fold, 3)) if keep.any() else np.zeros((len(pairs), len(DEFECTS)))
@@ -620,12 +623,17 @@ class PairModel:
             p = p * share / (p * share + (1 - p) * (1 - share))
             self.calibration[c] = (x, p)
 
-    def scored(self, pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
+    def _gathered(self, pairs: list, labels: np.ndarray | None = None, said: list[set[int]] | None = None) -> tuple[Rows, np.ndarray, np.ndarray]:
+        """(rows, labels, pairs) of the windows to learn from."""
         out = []
-        for i in range(0, len(pairs), 2_000):
-            part = pairs[i : i + 2_000]
-            b = self.featurizer.batch(part)
-            out.append(pooled(linear.scores(self.w, b.rows), b, len(part)))
+        for first, own, b in self.featurizer.portions(pairs):
+            end = first + len(own)
+            y, use = _window_labels(own, np.zeros((len(own), len(DEFECTS)), dtype=np.float32) if labels is None else labels[first:end], [set()] * len(own) if said is None else said[first:end], b)
+            out.append((b.rows.take(np.flatnonzero(use)), y[use], b.pair[use] + first))
+        return Rows.joined([r for r, _, _ in out]), np.concatenate([y for _, y, _ in out]), np.concatenate([p for _, _, p in out])
+
+    def scored(self, pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
+        out = [pooled(linear.scores(self.w, b.rows), b, len(own)) for _, own, b in self.featurizer.portions(pairs)]
         return np.concatenate(out) if out else np.zeros((0, len(DEFECTS)))
 
     def probabilities(self, pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
