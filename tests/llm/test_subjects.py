@@ -54,3 +54,38 @@ def test_sentences():
         parts.setdefault(int(n), []).append(layout.text[a:b])
     assert [" ".join(p) for p in parts.values()] == ["See Fig 3b and more", "Then this no break here", "New line", "Next text", "Ends"]
     assert subjects.Rules(["a"], np.empty(0, dtype=np.uint64), np.empty((0, 1))).shares(["One two three four.", ""]).tolist() == [[0.0], [0.0]]
+
+
+def _shared_words(rng, n):
+    """Documents whose subject only two words together tell: each word belongs to two subjects alike."""
+    pairs = {"music": ("key", "scale"), "computing": ("key", "index"), "sport": ("court", "match"), "law": ("court", "charge"), "physics": ("charge", "scale"), "chemistry": ("match", "index")}
+    rows, labels = [], []
+    for i in range(n):
+        s = rng.choice(sorted(pairs))
+        a, b = pairs[s]
+        text = " ".join(rng.choice([f"Here the {a} stands for a certain {b} in most books.", f"Later the {b} is compared with another {a} again."]) if rng.random() < 0.6 else rng.choice(GENERAL) for _ in range(20))
+        rows.append((i, text))
+        labels.append((i, s))
+    return rows, labels, sorted(pairs)
+
+
+def test_rules_of_two_words_decide(spark):
+    rows, labels, names = _shared_words(random.Random(6), 400)
+    docs, given = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels[:250], "doc_id bigint, subject string")
+    rules = subjects.learn(docs, given, names)
+    truth = dict(labels)
+
+    def right():
+        s = rules.shares([t for _, t in rows[250:]])
+        return np.mean([(s[i] >= rules.share).tolist() == [n == truth[k] for n in names] for i, (k, _) in enumerate(rows[250:])])
+
+    assert len(rules.pair) >= 6 and right() > 0.95
+    rules.pair = np.empty(0, dtype=np.uint64)
+    assert right() < 0.3
+
+
+def test_rules_reach_over_a_long_sentence():
+    a, b = subjects._word_hashes(["key"]), subjects._word_hashes(["scale"])
+    rules = subjects.Rules(["music"], np.empty(0, dtype=np.uint64), np.empty((0, 1)), subjects.Rules.both(a, b), np.array([[3.0]]), np.sort(np.concatenate((a, b))))
+    assert rules.shares(["The key " + "and so on " * 15 + "the scale."]).tolist() == [[1.0]]
+    assert rules.shares(["word " * 5_000]).tolist() == [[0.0]]
