@@ -3,10 +3,11 @@
 1. Vectors that are copies of each other become one node, so a group of copies of any size costs one row.
 2. Random projection trees, their splits fitted on a bounded sample, put near vectors into the same leaf; the best
    neighbours in the leaves of each tree are the first graph. Every vector is indexed; depth follows the row count, with
-   splits not fitted to data below the depth the sample can carry, and a leaf too large is divided where it lies.
-3. NN-descent: neighbours of neighbours, in both directions, come from joins of the graph with itself; a leaf's nodes
-   share most of them, so each goes once to the leaf (a block) and not once to every node. Blocks compute all cosines
-   of their nodes and these candidates as matrix products and keep the best. It ends when few edges change.
+   splits not fitted to data below the depth the sample can carry, and a leaf too large is divided before it is gathered.
+3. NN-descent: neighbours of neighbours, in both directions, come from joins of the graph with itself. Nodes near each
+   other share most of them, so they are tried by blocks of some thousand nodes: ids are joined first, a vector goes to a
+   block once, and those of the block's own nodes never. Paths of old edges only are not tried again, and a block sends back
+   only edges better than a node's worst that it has not got. It ends when few edges change.
 
 Of the edges that point to a node, the most similar ``reverse`` ones take part in making candidates, as is usual in
 NN-descent: this spares hubs. It limits what is tried in one round, not the result: a node's own edges always take part.
@@ -28,10 +29,11 @@ from leafmill.sources.tables import settle
 
 #: Vectors that the trees' splits are fitted on, at most.
 SAMPLE = 20_000
-TREES, LEAF, ROUNDS, REVERSE = 3, 400, 3, 20
+TREES, LEAF, ROUNDS, REVERSE = 3, 800, 4, 12
 #: Rounds end when less than this share of the edges is new.
 ENOUGH = 0.002
-_MAX_BLOCK = 2_000
+#: A leaf of more vectors is divided; a block has the nodes of so many leaves; so many candidates meet a block at once.
+_MAX_LEAF, _LEAVES, _AT_ONCE = 2_000, 4, 20_000
 
 
 def valid_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -101,43 +103,37 @@ class Tree:
         return node
 
 
-def best(own: np.ndarray, own_id: np.ndarray, other: np.ndarray, other_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other id, cosine) of the k nearest others of each own vector; ties to the smaller id."""
+def best(own: np.ndarray, own_id: np.ndarray, other: np.ndarray, other_id: np.ndarray, k: int, have: list | None = None, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other id, cosine) of the k nearest others of each own vector; ties to the smaller id. With ``have`` and
+    ``worst`` only those it has not got and that are better than its worst."""
     order = np.argsort(other_id)
     other, other_id = other[order], other_id[order]
     rows, ids, cos = [], [], []
+
+    def leave_out(s: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> None:
+        at = np.minimum(np.searchsorted(other_id, wanted), len(other_id) - 1)
+        here = other_id[at] == wanted
+        s[row[here], at[here]] = -2
+
     for i in range(0, len(own), 512):
         s = own[i : i + 512] @ other.T
-        at = np.searchsorted(other_id, own_id[i : i + 512])
-        at = np.minimum(at, len(other_id) - 1)
-        here = np.flatnonzero(other_id[at] == own_id[i : i + 512])
-        s[here, at[here]] = -2
         n = min(k, s.shape[1])
+        leave_out(s, np.arange(len(s)), own_id[i : i + 512])
+        if have is not None:
+            size = [len(h) for h in have[i : i + 512]]
+            leave_out(s, np.repeat(np.arange(len(s)), size), np.concatenate([np.asarray(h, dtype=np.int64) for h in have[i : i + 512]]))
         top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.broadcast_to(np.arange(n), s.shape)
         value = np.take_along_axis(s, top, axis=1)
-        keep = value > -1.5
+        keep = value > (-1.5 if worst is None else np.maximum(worst[i : i + 512], -1.5)[:, None])
         rows.append(np.broadcast_to(np.arange(i, i + len(s))[:, None], top.shape)[keep])
         ids.append(other_id[top][keep])
         cos.append(value[keep])
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(cos)
 
 
-def _pieces(x: np.ndarray, most: int, seed: int) -> list[np.ndarray]:
-    """Indices of ``x`` in parts of at most ``most``, near ones together: halves along random directions."""
-    todo, out, rng = [np.arange(len(x))], [], np.random.default_rng(seed)
-    while todo:
-        part = todo.pop()
-        if len(part) <= most:
-            out.append(part)
-            continue
-        order = np.argsort(x[part] @ rng.normal(size=x.shape[1]), kind="stable")
-        todo += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
-    return out
-
-
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k best edges (id, nbr, cos, fresh) of each id; an edge met twice counts as the old one."""
-    one = edges.groupBy("id", "nbr").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"))
+    """The k best edges (id, nbr, cos, fresh, block, nbr_block) of each id; an edge met twice counts as the old one. Moved once."""
+    one = edges.repartition("id").groupBy("id", "nbr").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"), F.first("block").alias("block"), F.first("nbr_block").alias("nbr_block"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "nbr"))
     return one.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
@@ -172,46 +168,60 @@ def neighbour_graph(vectors: DataFrame, k: int, dim: int, trees: int = TREES, le
                 m = _matrix(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(t.leaves(m)) for t in shared.value)], ["id", "vec", *(f"leaf{i}" for i in range(trees))])
 
-    nodes = settle(node.select(F.col("node").alias("id"), "vec").mapInArrow(route, "id bigint, vec binary, " + ", ".join(f"leaf{i} bigint" for i in range(trees))))
+    routed = node.select(F.col("node").alias("id"), "vec").mapInArrow(route, "id bigint, vec binary, " + ", ".join(f"leaf{i} bigint" for i in range(trees)))
+    # blocks of nodes: neighbouring leaves of the first tree, which share their first splits, in hashed parts where large
+    ancestor = F.shiftright(F.col("leaf0") + 1, int(math.log2(_LEAVES)))
+    routed = settle(routed.withColumn("about", ancestor))
+    size = routed.groupBy("about").agg(F.ceil(F.count("*") / F.lit(_LEAVES * _MAX_LEAF)).alias("parts"))
+    nodes = settle(routed.join(size, "about").withColumn("block", F.xxhash64("about", F.pmod(F.xxhash64("id"), "parts"))).drop("about", "parts"))
     twins = node.where("n > 1").select("vec", "node")
     members = held.join(twins, "vec", "left").select("id", F.coalesce("node", "id").alias("node")) if n else held.select("id", F.col("id").alias("node"))
+    edge = "id bigint, nbr bigint, cos double, block bigint, nbr_block bigint"
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, ids = _matrix(list(pdf["vec"])), pdf["id"].to_numpy()
-        out = []
-        for part in _pieces(m, _MAX_BLOCK, 5):
-            row, nbr, cos = best(m[part], ids[part], m[part], ids[part], k)
-            out.append(pd.DataFrame({"id": ids[part][row], "nbr": nbr, "cos": cos}))
-        return pd.concat(out)
+        m, ids, block = _matrix(list(pdf["vec"])), pdf["id"].to_numpy(), pdf["block"].to_numpy()
+        row, nbr, cos = best(m, ids, m, ids, k)
+        order = np.argsort(ids)
+        return pd.DataFrame({"id": ids[row], "nbr": nbr, "cos": cos, "block": block[row], "nbr_block": block[order[np.searchsorted(ids[order], nbr)]]})
 
     first = None
     for i in range(trees):
-        e = nodes.select("id", "vec", F.col(f"leaf{i}").alias("leaf")).groupBy("leaf").applyInPandas(inside, "id bigint, nbr bigint, cos double")
+        leaf_size = nodes.groupBy(f"leaf{i}").agg(F.ceil(F.count("*") / F.lit(_MAX_LEAF)).alias("parts"))
+        own = nodes.join(leaf_size, f"leaf{i}").select("id", "vec", "block", F.col(f"leaf{i}").alias("leaf"), F.pmod(F.xxhash64("id"), "parts").alias("part"))
+        e = own.groupBy("leaf", "part").applyInPandas(inside, edge)
         first = e if first is None else first.unionByName(e)
     edges = settle(_top(first.withColumn("fresh", F.lit(1)), k))
 
-    def block(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(other):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "nbr": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
-        m, ids = _matrix(list(own["vec"])), own["id"].to_numpy()
-        c, cid = _matrix(list(other["vec"])), other["id"].to_numpy()
-        row, nbr, cos = best(m, ids, c, cid, k)
-        return pd.DataFrame({"id": ids[row], "nbr": nbr, "cos": cos})
-
-    # blocks of nodes: a leaf of the first tree, in hashed parts where it is large
-    size = nodes.groupBy("leaf0").agg((F.floor(F.count("*") / F.lit(_MAX_BLOCK)) + 1).alias("parts"))
-    blocks = settle(nodes.join(size, "leaf0").select("id", "vec", F.xxhash64("leaf0", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
+    def meet(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        """Edges of a block's nodes to candidates, and to each other, that are better than the worst they have."""
+        if not len(own):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "nbr": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64"), "block": pd.Series(dtype="int64"), "nbr_block": pd.Series(dtype="int64")})
+        ids, block = own["id"].to_numpy(), own["block"].iloc[0]
+        m = _matrix(list(own["vec"]))
+        c, cid, cb = m, ids, np.full(len(ids), block)
+        if len(other):
+            c, cid, cb = np.concatenate((m, _matrix(list(other["other"])))), np.concatenate((ids, other["other_id"].to_numpy())), np.concatenate((cb, other["nbr_block"].to_numpy()))
+        order = np.argsort(cid)
+        c, cid, cb = c[order], cid[order], cb[order]
+        row, nbr, cos = best(m, ids, c, cid, k, own["have"].tolist(), own["worst"].to_numpy())
+        return pd.DataFrame({"id": ids[row], "nbr": nbr, "cos": cos, "block": block, "nbr_block": cb[np.searchsorted(cid, nbr)]})
+
     for _ in range(rounds if n > 1 else 0):
         back = Window.partitionBy("nbr").orderBy(F.desc("cos"), "id")
-        backward = edges.withColumn("r", F.row_number().over(back)).where(F.col("r") <= reverse).select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "fresh")
-        near = edges.select("id", "nbr", "fresh").unionByName(backward).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"))
-        near = settle(near.join(blocks.select("id", "block"), "id"))
+        backward = edges.withColumn("r", F.row_number().over(back)).where(F.col("r") <= reverse).select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "fresh", F.col("nbr_block").alias("block"), F.col("block").alias("nbr_block"))
+        near = settle(edges.select("id", "nbr", "fresh", "block", "nbr_block").unionByName(backward).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"), F.first("block").alias("block"), F.first("nbr_block").alias("nbr_block")))
         step = near.groupBy("block", F.col("nbr").alias("mid")).agg(F.max("fresh").alias("f1"))
-        onward = near.select(F.col("id").alias("mid"), F.col("nbr").alias("id"), F.col("fresh").alias("f2"))
-        # a path is worth trying if one of its edges is new
-        wanted = step.join(onward, "mid").where("f1 + f2 > 0").select("block", "id").distinct()
-        others = wanted.join(nodes.select("id", "vec"), "id")
-        found = blocks.groupBy("block").cogroup(others.groupBy("block")).applyInPandas(block, "id bigint, nbr bigint, cos double")
+        onward = near.groupBy(F.col("id").alias("mid")).agg(F.max("fresh").alias("f2"), F.collect_list(F.struct("fresh", F.col("nbr").alias("id"), "nbr_block")).alias("next"))
+        # a path is worth trying if one of its edges is new; nodes of the block itself are there already
+        paths = step.join(onward, "mid").where("f1 + f2 > 0")
+        wanted = paths.select("block", F.explode(F.filter("next", lambda x: (x["nbr_block"] != F.col("block")) & (F.col("f1") + x["fresh"] > 0))).alias("x"))
+        wanted = settle(wanted.select("block", "x.id", "x.nbr_block").distinct())
+        parts = wanted.groupBy("block").agg(F.ceil(F.count("*") / F.lit(_AT_ONCE)).cast("int").alias("parts"))
+        others = wanted.join(parts, "block").join(nodes.select("id", F.col("vec").alias("other")), "id").select("block", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.col("id").alias("other_id"), "other", "nbr_block")
+        state = edges.groupBy("id").agg(F.collect_list("nbr").alias("have"), F.when(F.count("*") >= k, F.min("cos")).otherwise(F.lit(-2.0)).alias("worst"))
+        own = nodes.select("id", "vec", "block").join(state, "id").join(parts, "block", "left")
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)).cast("bigint") - 1))).drop("parts")
+        found = own.groupBy("block", "part").cogroup(others.groupBy("block", "part")).applyInPandas(meet, edge)
         edges = settle(_top(edges.withColumn("fresh", F.lit(0)).unionByName(found.withColumn("fresh", F.lit(1))), k))
         if edges.where("fresh = 1").count() <= ENOUGH * n * k:
             break
