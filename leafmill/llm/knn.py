@@ -150,8 +150,13 @@ class Graph:
     dim: int
 
 
-def neighbour_graph(vectors: DataFrame, k: int, dim: int, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, sample: int = SAMPLE, reverse: int = REVERSE) -> Graph:
-    """NN-descent graph of ``vectors``, as ``valid_vectors`` gives them; with no vectors all its tables are empty."""
+def neighbour_graph(vectors: DataFrame, k: int, dim: int, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, sample: int = SAMPLE, reverse: int = REVERSE, least: float = -1.0) -> Graph:
+    """NN-descent graph of ``vectors``, as ``valid_vectors`` gives them; with no vectors all its tables are empty.
+
+    ``least``: only neighbours of at least this cosine are sought beyond the first graph. By the triangle inequality the
+    angle at the end of a path is at least the difference of the angles of its two edges, so a path on which that is too
+    wide can't lead to one and isn't tried; nor is one of two edges that are both below ``least``.
+    """
     spark = vectors.sparkSession
     held = settle(vectors)
     by_vec = held.groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("n"))
@@ -208,22 +213,30 @@ def neighbour_graph(vectors: DataFrame, k: int, dim: int, trees: int = TREES, le
 
     for _ in range(rounds if n > 1 else 0):
         back = Window.partitionBy("nbr").orderBy(F.desc("cos"), "id")
-        backward = edges.withColumn("r", F.row_number().over(back)).where(F.col("r") <= reverse).select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "fresh", F.col("nbr_block").alias("block"), F.col("block").alias("nbr_block"))
-        near = settle(edges.select("id", "nbr", "fresh", "block", "nbr_block").unionByName(backward).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"), F.first("block").alias("block"), F.first("nbr_block").alias("nbr_block")))
-        step = near.groupBy("block", F.col("nbr").alias("mid")).agg(F.max("fresh").alias("f1"))
-        onward = near.groupBy(F.col("id").alias("mid")).agg(F.max("fresh").alias("f2"), F.collect_list(F.struct("fresh", F.col("nbr").alias("id"), "nbr_block")).alias("next"))
+        backward = edges.withColumn("r", F.row_number().over(back)).where(F.col("r") <= reverse).select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "fresh", "cos", F.col("nbr_block").alias("block"), F.col("block").alias("nbr_block"))
+        near = settle(edges.select("id", "nbr", "fresh", "cos", "block", "nbr_block").unionByName(backward).groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"), F.max("cos").alias("cos"), F.first("block").alias("block"), F.first("nbr_block").alias("nbr_block")))
+        angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+        step = near.groupBy("block", F.col("nbr").alias("mid")).agg(F.max("fresh").alias("f1"), F.max("cos").alias("best"), F.min("cos").alias("worst"))
+        onward = near.groupBy(F.col("id").alias("mid")).agg(F.max("fresh").alias("f2"), F.collect_list(F.struct("fresh", F.col("nbr").alias("id"), "nbr_block", "cos")).alias("next"))
         # a path is worth trying if one of its edges is new; nodes of the block itself are there already
         paths = step.join(onward, "mid").where("f1 + f2 > 0")
-        wanted = paths.select("block", F.explode(F.filter("next", lambda x: (x["nbr_block"] != F.col("block")) & (F.col("f1") + x["fresh"] > 0))).alias("x"))
+
+        def try_it(x):
+            wide = angle(x["cos"])
+            fits = (wide >= angle(F.col("best")) - math.acos(least)) & (wide <= angle(F.col("worst")) + math.acos(least))
+            return (x["nbr_block"] != F.col("block")) & (F.col("f1") + x["fresh"] > 0) & ((F.greatest(F.col("best"), x["cos"]) >= least) & fits if least > -1 else F.lit(True))
+
+        wanted = paths.select("block", F.explode(F.filter("next", try_it)).alias("x"))
         wanted = settle(wanted.select("block", "x.id", "x.nbr_block").distinct())
         parts = wanted.groupBy("block").agg(F.ceil(F.count("*") / F.lit(_AT_ONCE)).cast("int").alias("parts"))
         others = wanted.join(parts, "block").join(nodes.select("id", F.col("vec").alias("other")), "id").select("block", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.col("id").alias("other_id"), "other", "nbr_block")
-        state = edges.groupBy("id").agg(F.collect_list("nbr").alias("have"), F.when(F.count("*") >= k, F.min("cos")).otherwise(F.lit(-2.0)).alias("worst"))
+        state = edges.groupBy("id").agg(F.collect_list("nbr").alias("have"), F.greatest(F.when(F.count("*") >= k, F.min("cos")).otherwise(F.lit(-2.0)), F.lit(least - 1e-12)).alias("worst"))
         own = nodes.select("id", "vec", "block").join(state, "id").join(parts, "block", "left")
         own = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)).cast("bigint") - 1))).drop("parts")
         found = own.groupBy("block", "part").cogroup(others.groupBy("block", "part")).applyInPandas(meet, edge)
         edges = settle(_top(edges.withColumn("fresh", F.lit(0)).unionByName(found.withColumn("fresh", F.lit(1))), k))
-        if edges.where("fresh = 1").count() <= ENOUGH * n * k:
+        good = edges.where(F.col("cos") >= least).agg(F.count("*"), F.coalesce(F.sum("fresh"), F.lit(0))).first()
+        if good[1] <= ENOUGH * good[0]:
             break
     return Graph(nodes, edges.select("id", "nbr", "cos"), members, forest, k, dim)
 

@@ -125,7 +125,7 @@ r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FR
 SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 10
 """)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    graph = knn.neighbour_graph(knn.valid_vectors(table(spark, d, "chunk_vectors"), "vec_id", "vector", VECTOR_DIM), NEAREST + 2, VECTOR_DIM)
+    graph = knn.neighbour_graph(knn.valid_vectors(table(spark, d, "chunk_vectors"), "vec_id", "vector", VECTOR_DIM), NEAREST + 2, VECTOR_DIM, least=LEAST_COSINE)
     near = knn.neighbours(graph, NEAREST, LEAST_COSINE)
     return near.select(F.least("id", "nbr").alias("vec_a"), F.greatest("id", "nbr").alias("vec_b")).distinct()
 
@@ -135,7 +135,7 @@ def p5_search(spark: SparkSession, d: str) -> DataFrame:
     """Greedy graph search with every vector whose id is divisible by 100 as a query, against all vectors; as in
     ``p5_found`` only cosines of at least 0.8 count."""
     vectors = knn.valid_vectors(table(spark, d, "chunk_vectors"), "vec_id", "vector", VECTOR_DIM)
-    graph = knn.neighbour_graph(vectors, NEAREST + 2, VECTOR_DIM)
+    graph = knn.neighbour_graph(vectors, NEAREST + 2, VECTOR_DIM, least=LEAST_COSINE)
     return knn.search(graph, vectors.where("id % 100 = 0"), NEAREST).where(F.col("cos") >= LEAST_COSINE)
 
 
