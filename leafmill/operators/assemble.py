@@ -75,6 +75,18 @@ def chapter_headings(pages: DataFrame) -> DataFrame:
     return first.withColumn("next", after).join(last, "scope").select("scope", "chapter_number", "title", "start_page", F.greatest("start_page", F.coalesce(F.col("next") - 1, "last")).alias("end_page"))
 
 
+def document_chapters(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """(scope, chapter_number, title, start_page, end_page, matched_by): chapters by headings; where a scope has none, its
+    sections (scope, section_number, title, start_page, end_page) stand for chapters, each number once, the first by
+    start_page. A section without a title is called by its number; one without a number is left out."""
+    heads = chapter_headings(pages).withColumn("matched_by", F.lit("heading"))
+    name = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Section "), F.col("section_number").cast("string")))
+    own = sections.where("section_number <> 0").select("scope", F.col("section_number").alias("chapter_number"), name.alias("title"), "start_page", "end_page")
+    own = own.groupBy("scope", "chapter_number").agg(F.min(F.struct("start_page", "end_page", "title")).alias("s")).select("scope", "chapter_number", "s.title", "s.start_page", "s.end_page")
+    rest = own.join(heads.select("scope").distinct(), "scope", "left_anti").withColumn("matched_by", F.lit("section_fallback"))
+    return heads.unionByName(rest)
+
+
 def exam_blocks(sections: DataFrame, texts: DataFrame, key: str, most: int = 12_000) -> DataFrame:
     """(scope, section_number, block): lines on each section: number and title, pages, summary, concepts, excerpt.
 
@@ -107,8 +119,9 @@ def first_words(text: Column, most: int) -> Column:
 
 
 def chapter_contexts(requests: DataFrame, chapters: DataFrame, pages: DataFrame, most: int = 9_000) -> DataFrame:
-    """(request_id, context) for requests (request_id, scope, chapters array<int>): excerpts of the chapters asked for, in
-    that order, each under a line with its number, title and pages; the more chapters, the shorter each excerpt."""
+    """(request_id, context, sources) for requests (request_id, scope, chapters array<int>): excerpts of the chapters asked
+    for, in that order, each under a line with its number, title and pages; the more chapters, the shorter each excerpt.
+    sources has number, title, pages and how it was found of each chapter that has a text, in the same order."""
     asked = requests.select("request_id", "scope", F.posexplode("chapters").alias("at", "chapter_number"))
     hit = asked.join(chapters, ["scope", "chapter_number"])
     spans = hit.withColumn("key", F.concat_ws("\x1f", F.col("request_id").cast("string"), F.col("at").cast("string")))
@@ -117,4 +130,8 @@ def chapter_contexts(requests: DataFrame, chapters: DataFrame, pages: DataFrame,
     x = spans.join(texts, "key").withColumn("n", n)
     body = F.coalesce(*[F.when(F.col("n") == k, tx.excerpt("text", max(600, most // k - 160))) for k in range(1, 16)], tx.excerpt("text", 600))
     head = F.concat(F.lit("[Chapter "), F.col("chapter_number").cast("string"), F.lit(" | "), "title", F.lit(" | Pages "), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"), F.lit("]\n"))
-    return budgeted(x.withColumn("block", F.concat(head, body)), "request_id", ["at"], "block", most)
+    x = x.withColumn("block", F.concat(head, body))
+    used = Window.partitionBy("request_id").orderBy("at")
+    room = F.lit(most) - (F.sum(F.length("block") + 2).over(used) - (F.length("block") + 2))
+    sources = x.withColumn("room", room).where("room > 0").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("matched_by") == "heading", "chapter").otherwise("study_section").alias("type"), F.col("chapter_number").alias("number"), "title", "start_page", "end_page"))).alias("sources"))
+    return budgeted(x, "request_id", ["at"], "block", most).join(sources, "request_id")

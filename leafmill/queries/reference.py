@@ -46,6 +46,8 @@ def saves(spark: SparkSession, d: str) -> DataFrame:
 _P = "p AS (SELECT DISTINCT page_id, source_id AS scope, page_number, text FROM doc_pages WHERE trim(source_id) <> '')"
 _C = "c AS (SELECT DISTINCT source_id AS scope, chunk_id, page_number, text FROM doc_chunks)"
 _Q = "q AS (SELECT DISTINCT item_id AS question_id, pdf AS scope, question, answer, source_text FROM eval_dataset WHERE pdf IS NOT NULL AND question IS NOT NULL)"
+_NAMED = "np AS (SELECT DISTINCT page_id, CASE WHEN trim(source_id) <> '' THEN source_id ELSE nullif(trim(metadata['source']), '') END AS scope, page_number, text FROM doc_pages WHERE trim(source_id) <> '' OR trim(metadata['source']) <> '')"
+_TIDY = "trim(regexp_replace(coalesce(text, ''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s]+'), lambda x: x <> '')"
 _LEVEL = "CASE WHEN n = 0 THEN 'Easy' WHEN chars / n > 6.3 OR long / n > 0.22 THEN 'Hard' WHEN chars / n > 5.2 OR long / n > 0.12 THEN 'Medium' ELSE 'Easy' END"
 _TIMES = "CASE level WHEN 'Easy' THEN 1.0 WHEN 'Hard' THEN 1.45 ELSE 1.2 END"
@@ -140,8 +142,9 @@ def study_plan(spark: SparkSession, d: str) -> DataFrame:
     return planner.plan(named_pages(spark, d), pages_per_section=5)
 
 
-@query()
+@query("SELECT CAST(NULL AS VARCHAR) AS scope, CAST(NULL AS VARCHAR) AS fault WHERE false")
 def plan_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Plans with overlapping, backward or missing pages: there are none."""
     return planner.coverage_faults(study_plan(spark, d), named_pages(spark, d))
 
 
@@ -218,9 +221,35 @@ def section_texts(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("id", F.md5(F.encode("text", "UTF-8")).alias("digest")).join(n, "id")
 
 
-@query()
+_NUMBERS = "one two three four five six seven eight nine ten".split()
+_DOC_SECTIONS = """first_s AS (SELECT filename AS scope, min(id) AS session_id FROM study_sessions GROUP BY 1), ds AS (SELECT DISTINCT scope, section_number, title, start_page, end_page FROM study_sections JOIN first_s USING (session_id))"""
+_CHAPTERS = f"""{_NAMED}, {_DOC_SECTIONS}, ln AS (SELECT scope, page_number, rtrim(substr(regexp_split_to_array({_TIDY}, '(\\.)\\s{{{{2,}}}}')[1], 1, 140)) AS line FROM np),
+lh AS (SELECT *, regexp_matches(line, '(?i)^(chapter|ch\\.?)\\s+(\\d{{{{1,2}}}}|{'|'.join(_NUMBERS)})([^\\p{{{{L}}}}\\p{{{{N}}}}_]|$)') AS named, regexp_matches(line, '^(\\d{{{{1,2}}}})(\\.\\s+|\\s+)[A-Z][A-Za-z].{{{{2,80}}}}') AS plain FROM ln WHERE line <> '' AND len(regexp_split_to_array(line, '\\s+')) <= 14),
+hd AS (SELECT scope, page_number, CASE WHEN named THEN lower(regexp_extract(line, '(?i)^(chapter|ch\\.?)\\s+(\\d{{{{1,2}}}}|{'|'.join(_NUMBERS)})', 2)) ELSE regexp_extract(line, '^(\\d{{{{1,2}}}})', 1) END AS token,
+regexp_replace(CASE WHEN named THEN regexp_extract(line, '(?i)^(chapter|ch\\.?)\\s+(\\d{{{{1,2}}}}|{'|'.join(_NUMBERS)})[:.\\-\\s]*(.*)', 3) ELSE regexp_extract(line, '^(\\d{{{{1,2}}}})(\\.\\s+|\\s+)([A-Z][A-Za-z].{{{{2,80}}}})', 3) END, '^[ :\\-]+|[ :\\-]+$', '', 'g') AS suffix FROM lh WHERE named OR plain),
+hn AS (SELECT scope, page_number, coalesce(try_cast(token AS INTEGER), list_position([{', '.join(f"'{w}'" for w in _NUMBERS)}], token)) AS n, suffix FROM hd), ht AS (SELECT scope, page_number, n, 'Chapter ' || n || CASE WHEN suffix <> '' THEN ': ' || suffix ELSE '' END AS title FROM hn),
+hf AS (SELECT scope, n, min(struct_pack(a := page_number, b := title)) AS f FROM ht GROUP BY 1, 2), la AS (SELECT scope, max(page_number) AS last FROM np WHERE {_TIDY} <> '' GROUP BY 1),
+hc AS (SELECT scope, n AS chapter_number, f.b AS title, f.a AS start_page, greatest(f.a, coalesce(lead(f.a) OVER (PARTITION BY scope ORDER BY f.a, n) - 1, last)) AS end_page, 'heading' AS matched_by FROM hf JOIN la USING (scope)),
+sf AS (SELECT scope, section_number AS chapter_number, min(struct_pack(a := start_page, b := end_page, c := coalesce(nullif(title, ''), 'Section ' || section_number))) AS s FROM ds WHERE section_number <> 0 AND scope NOT IN (SELECT scope FROM hc) GROUP BY 1, 2),
+ch AS (SELECT * FROM hc UNION ALL SELECT scope, chapter_number, s.c, s.a, s.b, 'section_fallback' FROM sf)"""
+
+
+def _document_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of each document's first session."""
+    first = sessions(spark, d).groupBy(F.col("filename").alias("scope")).agg(F.min("id").alias("session_id"))
+    return sections(spark, d).join(first, "session_id").select("scope", "section_number", "title", "start_page", "end_page").distinct()
+
+
+@query("WITH " + _CHAPTERS.format() + " SELECT scope, CAST(chapter_number AS INTEGER) AS chapter_number, title, CAST(start_page AS INTEGER) AS start_page, CAST(end_page AS INTEGER) AS end_page, matched_by FROM ch")
 def chapter_index(spark: SparkSession, d: str) -> DataFrame:
-    return assemble.chapter_headings(named_pages(spark, d))
+    return assemble.document_chapters(named_pages(spark, d), _document_sections(spark, d))
+
+
+@query()
+def chapter_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of the chapters that questions name."""
+    asked = questions(spark, d).select(F.col("question_id").alias("request_id"), "scope", tx.numbered_references("question", ["chapter", "chapters", "ch"], ["פרק", "פרקים"]).alias("chapters")).where(F.size("chapters") > 0)
+    return assemble.chapter_contexts(asked, chapter_index(spark, d), named_pages(spark, d))
 
 
 # --- ranking
