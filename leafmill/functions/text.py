@@ -142,16 +142,16 @@ def ellipsis(c: Column | str, most: int, keep: int | None = None) -> Column:
     return F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 3 if keep is None else keep)), F.lit("..."))).otherwise(t)
 
 
-def excerpt(c: Column | str, most: int) -> Column:
+def excerpt(c: Column | str, most: int | Column) -> Column:
     """The text, or parts of its beginning, middle and end at whole words where it is longer than ``most``."""
     t = clean(c)
-    part = max(180, most // 3)
+    most = F.lit(most) if isinstance(most, int) else most
+    part = F.greatest(F.lit(180), F.floor(most / 3)).cast("int")
     drop_last = lambda x: F.regexp_replace(x, r" [^ ]*$", "")
     drop_first = lambda x: F.regexp_replace(x, r"^[^ ]* ", "")
-    middle = F.trim(F.substring(t, F.greatest(F.lit(0), F.floor(F.length(t) / 2) - part // 2).cast("int") + 1, F.lit(part)))
-    return F.when(F.length(t) <= most, t).otherwise(F.concat_ws("\n...\n", F.rtrim(drop_last(F.substring(t, 1, part))), F.trim(drop_last(drop_first(middle))), F.trim(drop_first(F.substring(t, -part, part)))))
-
-
+    half = F.floor(F.length(t) / 2) - F.floor(part / 2)
+    middle = F.trim(F.substring(t, F.greatest(F.lit(0), half).cast("int") + 1, part))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat_ws("\n...\n", F.rtrim(drop_last(F.substring(t, F.lit(1), part))), F.trim(drop_last(drop_first(middle))), F.trim(drop_first(F.substring(t, -part, part)))))
 
 
 def query_intent(c: Column | str) -> Column:

@@ -128,7 +128,7 @@ def chapter_contexts(requests: DataFrame, chapters: DataFrame, pages: DataFrame,
     texts = texts_in_range(spans.select("key", "scope", "start_page", "end_page"), pages, "key", " ", tidy=True)
     n = F.count("*").over(Window.partitionBy("request_id"))
     x = spans.join(texts, "key").withColumn("n", n)
-    body = F.coalesce(*[F.when(F.col("n") == k, tx.excerpt("text", max(600, most // k - 160))) for k in range(1, 16)], tx.excerpt("text", 600))
+    body = tx.excerpt("text", F.greatest(F.lit(600), F.floor(F.lit(most) / F.col("n")).cast("int") - 160))
     head = F.concat(F.lit("[Chapter "), F.col("chapter_number").cast("string"), F.lit(" | "), "title", F.lit(" | Pages "), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"), F.lit("]\n"))
     x = x.withColumn("block", F.concat(head, body))
     used = Window.partitionBy("request_id").orderBy("at")

@@ -191,6 +191,16 @@ def random_order(questions: DataFrame, chunks: DataFrame, k: int = 3, seed: int
     return top(x, k, F.xxhash64("question_id", "number", F.lit(seed + 1)), F.asc("number")).select("question_id", "chunk_id", "page_number", "rank")
 
 
+BASELINES = ["keyword_overlap", "important_words", "document_order", "random"]
+
+
+def baselines(questions: DataFrame, chunks: DataFrame, k: int = 3, names: list[str] | None = None) -> DataFrame:
+    """(method, question_id, chunk_id, page_number, rank): the baselines side by side."""
+    run = {"keyword_overlap": keyword_overlap, "important_words": important_words, "document_order": document_order, "random": random_order}
+    parts = [run[n](questions, chunks, k).select(F.lit(n).alias("method"), "question_id", "chunk_id", "page_number", "rank") for n in names or BASELINES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def overview(chunks: DataFrame, k: int = 8) -> DataFrame:
     """(scope, chunk_id, section_number, rank): the first chunk with text of each section, then all from the start again
     up to ``k``, so that a chunk may come twice."""

@@ -22,6 +22,6 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
     """All queries and all SQL of the core."""
-    from leafmill.queries import reference  # noqa: F401
+    from leafmill.queries import reference, study  # noqa: F401
 
     return dict(QUERIES), dict(SQL)

@@ -43,10 +43,12 @@ def saves(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "section_progress").distinct()
 
 
-_P = "p AS (SELECT DISTINCT page_id, source_id AS scope, page_number, text FROM doc_pages WHERE trim(source_id) <> '')"
+_SCOPE = "CASE WHEN trim(source_id) <> '' THEN source_id ELSE nullif(trim(metadata['source']), '') END"
+_PP = f"p AS (SELECT DISTINCT page_id, {_SCOPE} AS scope, page_number, text FROM doc_pages)"
+_P = f"p AS (SELECT DISTINCT page_id, {_SCOPE} AS scope, page_number, text FROM doc_pages WHERE {_SCOPE} IS NOT NULL)"
 _C = "c AS (SELECT DISTINCT source_id AS scope, chunk_id, page_number, text FROM doc_chunks)"
 _Q = "q AS (SELECT DISTINCT item_id AS question_id, pdf AS scope, question, answer, source_text FROM eval_dataset WHERE pdf IS NOT NULL AND question IS NOT NULL)"
-_NAMED = "np AS (SELECT DISTINCT page_id, CASE WHEN trim(source_id) <> '' THEN source_id ELSE nullif(trim(metadata['source']), '') END AS scope, page_number, text FROM doc_pages WHERE trim(source_id) <> '' OR trim(metadata['source']) <> '')"
+_NAMED = f"np AS (SELECT DISTINCT page_id, {_SCOPE} AS scope, page_number, text FROM doc_pages WHERE {_SCOPE} IS NOT NULL)"
 _TIDY = "trim(regexp_replace(coalesce(text, ''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s]+'), lambda x: x <> '')"
 _LEVEL = "CASE WHEN n = 0 THEN 'Easy' WHEN chars / n > 6.3 OR long / n > 0.22 THEN 'Hard' WHEN chars / n > 5.2 OR long / n > 0.12 THEN 'Medium' ELSE 'Easy' END"
@@ -67,19 +69,19 @@ def metadata_filtered(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.metadata_filter(table(spark, d, "doc_pages"), {"loader": ["ocr", "pypdf"], "lang": "en"}).select("page_id", "page_number").distinct()
 
 
-@query(f"""WITH {_P}, w AS (SELECT page_id, text, {_WORDS} AS w FROM p), z AS (SELECT page_id, len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+')) AS words, {_SIZES} FROM w),
+@query(f"""WITH {_PP}, w AS (SELECT page_id, text, {_WORDS} AS w FROM p), z AS (SELECT page_id, len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+')) AS words, {_SIZES} FROM w),
 l AS (SELECT *, {_LEVEL} AS level FROM z) SELECT page_id, CAST(words AS INTEGER) AS words, level, CASE WHEN words = 0 THEN 0.0 ELSE round(greatest(1.0, words / 160 * {_TIMES}), 6) END AS workload FROM l""")
 def page_stats(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", tx.word_count("text").alias("words"), tx.difficulty("text").alias("level"), F.round(planner.page_workload("text"), 6).alias("workload"))
 
 
-@query(f"""WITH {_P}, s AS (SELECT page_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM p)
+@query(f"""WITH {_PP}, s AS (SELECT page_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM p)
 SELECT page_id, count(*) AS sentences FROM (SELECT page_id, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS s FROM s) WHERE s <> '' AND len(string_split(s, ' ')) >= 5 GROUP BY page_id""")
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", F.size(tx.sentences("text", 5, at_lines=True)).cast("bigint").alias("sentences")).where("sentences > 0")
 
 
-@query(f"""WITH {_P}, l AS (SELECT page_id, unnest(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))[1:8]) AS l FROM p),
+@query(f"""WITH {_PP}, l AS (SELECT page_id, unnest(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))[1:8]) AS l FROM p),
 k AS (SELECT page_id, trim(regexp_replace(l, '[\\s\\p{{Z}}]+', ' ', 'g')) AS l FROM l), u AS (SELECT *, regexp_replace(l, '[^A-Za-z]', '', 'g') AS letters, len(string_split(l, ' ')) AS n FROM k WHERE l <> '' AND length(l) <= 100)
 SELECT DISTINCT page_id FROM u WHERE regexp_matches(l, '(?i)^(chapter|lecture|section|unit|module)\\s+\\d+(\\.\\d+)?\\b') OR regexp_matches(l, '^\\d+(\\.\\d+)+\\s+[A-Za-z\\x{{0590}}-\\x{{05FF}}]') OR regexp_matches(l, '^\\d+\\s+[A-Z][A-Za-z][^\\n]{{2,80}}$')
 OR (n BETWEEN 2 AND 9 AND length(letters) > 0 AND length(regexp_replace(letters, '[^A-Z]', '', 'g')) / length(letters) > 0.65)""")
@@ -200,7 +202,7 @@ for _name in ("sentence", "parent_child", "semantic", "collapsed"):
 
 
 @query("""WITH t AS (SELECT DISTINCT id AS session_id, filename FROM study_sessions), s AS (SELECT DISTINCT session_id, section_number, title, start_page, end_page FROM study_sections),
-p AS (SELECT DISTINCT source_id, page_number FROM doc_pages WHERE trim(source_id) <> ''), j AS (SELECT t.session_id, p.page_number, min(s.section_number) AS section_number FROM t JOIN p ON p.source_id = t.filename LEFT JOIN s ON s.session_id = t.session_id AND p.page_number BETWEEN s.start_page AND s.end_page GROUP BY 1, 2)
+p AS (SELECT DISTINCT CASE WHEN trim(source_id) <> '' THEN source_id ELSE nullif(trim(metadata['source']), '') END AS source_id, page_number FROM doc_pages), j AS (SELECT t.session_id, p.page_number, min(s.section_number) AS section_number FROM t JOIN p ON p.source_id = t.filename LEFT JOIN s ON s.session_id = t.session_id AND p.page_number BETWEEN s.start_page AND s.end_page GROUP BY 1, 2)
 SELECT session_id, CAST(coalesce(section_number, 0) AS INTEGER) AS section_number, count(*) AS pages FROM j GROUP BY 1, 2""")
 def pages_by_section(spark: SparkSession, d: str) -> DataFrame:
     """Pages of each session's document by the first section that holds them, 0 for none."""
@@ -491,15 +493,22 @@ def valid_questions(spark: SparkSession, d: str) -> DataFrame:
     return _quiz(spark, d).where(quiz.valid_question(F.col("options"), F.col("answer"))).select("question_id")
 
 
-@query("""WITH z AS (SELECT DISTINCT question_id, session_id, section_number, options, answer FROM quiz_questions WHERE len(options) > 0 AND answer IS NOT NULL), g AS (SELECT *, options[1 + question_id % len(options)] AS given FROM z),
-n AS (SELECT *, lower(trim(regexp_replace(regexp_replace(given, '^\\s*[A-Da-d][.)]\\s*', ''), '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(regexp_replace(answer, '^\\s*[A-Da-d][.)]\\s*', ''), '\\s+', ' ', 'g'))) AND given <> '' AS ok FROM g WHERE NOT regexp_matches(answer, '^\\s*[A-Da-d]([.)]|\\s*$)'))
-SELECT session_id, CAST(round_even(count(*) FILTER (WHERE ok) * 100 / count(*), 0) AS INTEGER) AS score, count(*) FILTER (WHERE ok) AS "right", count(*) FILTER (WHERE NOT ok) AS wrong FROM n GROUP BY session_id""")
+_GIVEN = """z AS (SELECT DISTINCT question_id, session_id, section_number, options, answer FROM quiz_questions WHERE answer IS NOT NULL), g AS (SELECT *, CASE WHEN len(options) > 0 THEN options[1 + question_id % len(options)] END AS given FROM z),
+x AS (SELECT *, lower(trim(regexp_replace(regexp_replace(coalesce(given, ''), '^\\s*[A-Da-d][.)]\\s*', ''), '\\s+', ' ', 'g'))) AS gn, lower(trim(regexp_replace(regexp_replace(answer, '^\\s*[A-Da-d][.)]\\s*', ''), '\\s+', ' ', 'g'))) AS an, lower(regexp_extract(coalesce(given, ''), '^\\s*([A-Da-d])([.)]|\\s*$)', 1)) AS gl, lower(regexp_extract(answer, '^\\s*([A-Da-d])([.)]|\\s*$)', 1)) AS al FROM g),
+ok AS (SELECT *, coalesce(given, '') <> '' AND (gn = an OR CASE WHEN gl <> '' AND al <> '' THEN gl = al ELSE al <> '' AND coalesce(lower(trim(regexp_replace(regexp_replace(options[ascii(al) - 96], '^\\s*[A-Da-d][.)]\\s*', ''), '\\s+', ' ', 'g'))) = gn, false) END) AS ok FROM x)"""
+
+
+@query(f"""WITH {_GIVEN} SELECT session_id, CAST(round_even(count(*) FILTER (WHERE ok) * 100 / count(*), 0) AS INTEGER) AS score, count(*) FILTER (WHERE ok) AS "right", count(*) FILTER (WHERE NOT ok) AS wrong FROM ok GROUP BY session_id""")
 def quiz_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Grading of made answers: each question gets the option its id points to."""
-    x = _quiz(spark, d).where((F.size("options") > 0) & F.col("answer").isNotNull() & ~F.col("answer").rlike(r"^\s*[A-Da-d]([.)]|\s*$)"))
-    given = F.get("options", F.pmod("question_id", F.size("options")).cast("int"))
-    x = x.select("session_id", F.col("question_id").alias("question_no"), F.col("section_number").cast("string").alias("topic"), quiz.correct(F.lit("multiple_choice"), given, F.col("answer"), F.col("options")).alias("is_correct"))
-    return quiz.graded(x, "session_id").drop("weak_topics")
+    """Grading of made answers: each question with an answer gets the option its id points to, none where it has no options;
+    letters count as well as texts."""
+    return quiz.graded(graded_answers(spark, d), "session_id").drop("weak_topics")
+
+
+def graded_answers(spark: SparkSession, d: str) -> DataFrame:
+    x = _quiz(spark, d).where(F.col("answer").isNotNull()).select("question_id", "session_id", "section_number", "options", "answer").distinct()
+    given = F.when(F.size("options") > 0, F.get("options", F.pmod("question_id", F.size("options")).cast("int")))
+    return x.select("session_id", "section_number", F.col("question_id").alias("question_no"), F.col("section_number").cast("string").alias("topic"), quiz.correct(F.lit("multiple_choice"), given, F.col("answer"), F.col("options")).alias("is_correct"))
 
 
 _GRADING = ", ".join(f"'{w}'" for w in quiz.GRADING_STOP)
