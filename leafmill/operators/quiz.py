@@ -40,16 +40,22 @@ def cloze(texts: DataFrame, scope: str, order: list[str], text: str, stop: list[
 
 def multiple_choice(texts: DataFrame, scope: str, order: list[str], text: str, n: int = 5) -> DataFrame:
     """(scope, question_no, answer, options): the first eight words of a sentence of seven or more as the answer, those
-    of the next sentences that differ as distractors."""
+    of the next sentences that differ as distractors, however far on they are.
+
+    Of every phrase the first place after each of the ``n`` questions is a minimum that tasks combine; the three nearest
+    are kept.
+    """
     s = texts.select(scope, *order, F.posexplode(tx.sentences(text, 7, at_lines=True)).alias("_no", "_s"))
     phrase = F.array_join(F.slice(F.regexp_extract_all(F.substring("_s", 1, 220), F.lit("[A-Za-z][A-Za-z0-9-]*"), F.lit(0)), 1, 8), " ")
-    w = Window.partitionBy(scope).orderBy(*order, "_no")
-    s = s.select(scope, *order, "_no", phrase.alias("answer"))
-    s = s.withColumn("question_no", F.row_number().over(w))
-    later = F.collect_list("answer").over(w.rowsBetween(1, 40))
-    s = s.withColumn("later", later).where(F.col("question_no") <= n)
-    other = F.slice(F.concat(F.array_distinct(F.filter("later", lambda x: (x != "") & (F.lower(x) != F.lower("answer")))), F.array(*[F.lit(x) for x in FILL_DISTRACTORS])), 1, 3)
-    return s.select(scope, "question_no", "answer", F.concat(F.array("answer"), other).alias("options"))
+    s = s.select(scope, phrase.alias("answer"), F.row_number().over(Window.partitionBy(scope).orderBy(*order, "_no")).alias("question_no"))
+    asked = s.where(F.col("question_no") <= n)
+    first = s.where("answer <> ''").groupBy(scope, F.col("answer").alias("other")).agg(*[F.min(F.when(F.col("question_no") > i, F.col("question_no"))).alias(f"_{i}") for i in range(1, n + 1)])
+    later = first.select(scope, "other", F.explode(F.array(*[F.struct(F.lit(i).alias("question_no"), F.col(f"_{i}").alias("at")) for i in range(1, n + 1)])).alias("x")).select(scope, "other", "x.question_no", "x.at").where("at is not null")
+    near = later.join(asked, [scope, "question_no"]).where(F.lower("other") != F.lower("answer"))
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(scope, "question_no").orderBy("at"))).where("_r <= 3")
+    near = near.groupBy(scope, "question_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "other"))), lambda x: x["other"]).alias("others"))
+    other = F.slice(F.concat(F.coalesce("others", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in FILL_DISTRACTORS])), 1, 3)
+    return asked.join(near, [scope, "question_no"], "left").select(scope, "question_no", "answer", F.concat(F.array("answer"), other).alias("options"))
 
 
 def valid_question(options: Column, answer: Column) -> Column:

@@ -194,7 +194,12 @@ def _chunked(strategy: str, sql: str | None = None) -> None:
 
 _chunked("recursive", _RECURSIVE)
 _chunked("token", _TOKEN)
-for _name in ("sentence", "parent_child", "semantic", "collapsed"):
+_COLLAPSED = """WITH RECURSIVE p AS (SELECT DISTINCT page_id, text FROM doc_pages), n AS (SELECT page_id, trim(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM p),
+w AS (SELECT page_id, t, 0 AS no, CAST(0 AS BIGINT) AS a, CAST(CASE WHEN length(t) <= 1400 THEN length(t) WHEN length(sub) - strpos(reverse(sub), ' ') > 700 AND strpos(reverse(sub), ' ') > 0 THEN length(sub) - strpos(reverse(sub), ' ') + 1 ELSE 1400 END AS BIGINT) AS b FROM (SELECT page_id, t, substr(t, 1, 1400) AS sub FROM n WHERE t <> '')
+UNION ALL SELECT page_id, t, no + 1, a, CAST(CASE WHEN length(t) - a <= 1400 THEN length(t) WHEN length(sub) - strpos(reverse(sub), ' ') > 700 AND strpos(reverse(sub), ' ') > 0 THEN a + length(sub) - strpos(reverse(sub), ' ') + 1 ELSE a + 1400 END AS BIGINT) FROM (SELECT page_id, t, no, greatest(b - 160, a + 1) AS a, substr(t, CAST(greatest(b - 160, a + 1) AS BIGINT) + 1, 1400) AS sub FROM w WHERE b < length(t)))
+SELECT page_id, CAST(no AS INTEGER) AS chunk_no, trim(substr(t, a + 1, b - a)) AS text, CAST(a AS INTEGER) AS start_char FROM w WHERE trim(substr(t, a + 1, b - a)) <> ''"""
+_chunked("collapsed", _COLLAPSED)
+for _name in ("sentence", "parent_child", "semantic"):
     _chunked(_name)
 
 
@@ -289,7 +294,13 @@ def gated_top5(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.gated(questions(spark, d), _titled(spark, d))
 
 
-@query()
+_TITLED = """first_s AS (SELECT filename AS scope, min(id) AS session_id FROM study_sessions GROUP BY 1), ts AS (SELECT DISTINCT scope, section_number, title, start_page, end_page FROM study_sections JOIN first_s USING (session_id)),
+tc AS (SELECT c.scope, c.chunk_id, c.page_number, c.text, coalesce(min(section_number), 0) AS section_number FROM c LEFT JOIN ts ON ts.scope = c.scope AND c.page_number BETWEEN start_page AND end_page GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {_C}, {_TITLED}, fu AS (SELECT DISTINCT scope, chunk_id, page_number, section_number FROM tc WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+fs AS (SELECT * EXCLUDE (r), 0 AS turn FROM (SELECT *, row_number() OVER (PARTITION BY scope, section_number ORDER BY page_number, chunk_id) AS r FROM fu) WHERE r = 1), ag AS (SELECT * EXCLUDE (r), 1 AS turn FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY page_number, chunk_id) AS r FROM fu) WHERE r <= 8)
+SELECT scope, chunk_id, CAST(section_number AS INTEGER) AS section_number, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY turn, page_number, chunk_id) AS rank FROM (SELECT * FROM fs UNION ALL SELECT * FROM ag)) WHERE rank <= 8""")
 def overview_chunks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.overview(_titled(spark, d))
 
@@ -465,7 +476,11 @@ def question_contexts(spark: SparkSession, d: str) -> DataFrame:
     return assemble.budgeted(x, "question_id", ["rank"], "block", 1200)
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT * FROM study_sections), x AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n, coalesce(TRY_CAST(json_transform(key_concepts, '["VARCHAR"]') AS VARCHAR[]), []) AS k, trim(regexp_replace(coalesce(section_text, ''), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM s),
+y AS (SELECT session_id, section_number, 'Section ' || section_number || ': ' || coalesce(nullif(title, ''), 'Section ' || section_number) || chr(10) || CASE WHEN start_page = end_page THEN 'Page: ' || start_page ELSE 'Pages: ' || start_page || '-' || end_page END || CASE WHEN coalesce(trim(summary), '') <> '' THEN chr(10) || 'Summary: ' || trim(summary) ELSE '' END
+|| CASE WHEN array_to_string(k[1:8], ', ') <> '' THEN chr(10) || 'Key concepts: ' || array_to_string(k[1:8], ', ') ELSE '' END || CASE WHEN t <> '' THEN chr(10) || 'Representative text: ' || rtrim(substr(t, 1, CAST(greatest(300, least(1200, floor(12000 / n) - 250)) AS BIGINT))) ELSE '' END AS b FROM x),
+l AS (SELECT *, 12000 - (sum(length(b) + 2) OVER (PARTITION BY session_id ORDER BY section_number) - (length(b) + 2)) AS room FROM y)
+SELECT session_id, string_agg(CASE WHEN length(b) > room THEN rtrim(regexp_replace(substr(b, 1, CAST(room AS BIGINT)), '(?s) [^ ]*$', '')) ELSE b END, chr(10) || chr(10) ORDER BY section_number) AS context FROM l WHERE room > 0 GROUP BY 1""")
 def exam_contexts(spark: SparkSession, d: str) -> DataFrame:
     s = sections(spark, d)
     own = s.withColumn("key_concepts", F.from_json("key_concepts", "array<string>")).withColumn("scope", F.col("session_id"))
@@ -525,12 +540,27 @@ def related_sections(spark: SparkSession, d: str) -> DataFrame:
     return quiz.related_sections(q, s)
 
 
-@query()
+_SENT = "regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g')"
+_LIST = lambda words: "['" + "', '".join(words) + "']"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT session_id, section_number, id, trim(regexp_replace(coalesce(section_text, ''), '[\\s\\p{{Z}}]+', ' ', 'g')) AS t FROM study_sections),
+p AS (SELECT session_id, section_number, id, unnest(string_split({_SENT.format('t')}, chr(1))) AS s, generate_subscripts(string_split({_SENT.format('t')}, chr(1)), 1) AS no FROM t), f AS (SELECT * REPLACE (trim(s) AS s) FROM p WHERE trim(s) <> '' AND len(string_split(trim(s), ' ')) >= 8),
+w AS (SELECT *, list_filter(list_transform(string_split(s, ' '), lambda x: regexp_replace(x, '^[.,;:()\\[\\]"''`]+|[.,;:()\\[\\]"''`]+$', '', 'g')), lambda x: length(x) > 5 AND NOT list_contains({_LIST(tx.CONCEPT_STOP_WORDS)}, lower(x))) AS ws FROM f),
+a AS (SELECT session_id, section_number, id, no, s, list_sort(list_transform(ws, lambda x, i: struct_pack(l := -length(x), i := i, w := x)))[1].w AS answer FROM w WHERE len(ws) > 0),
+q AS (SELECT *, 'Fill in the blank: ' || substr(s, 1, strpos(s, answer) - 1) || '_____' || substr(s, strpos(s, answer) + length(answer)) AS prompt, struct_pack(a := section_number, b := id, c := no) AS pos FROM a),
+po AS (SELECT session_id, lower(answer) AS low, arg_min(answer, pos) AS answer, min(pos) AS pos FROM q GROUP BY 1, 2), pr AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS r FROM po), pl AS (SELECT session_id, list(answer ORDER BY r) AS pool FROM pr WHERE r <= 4 GROUP BY 1),
+fi AS (SELECT session_id, prompt, arg_min(answer, pos) AS answer, min(pos) AS pos FROM q GROUP BY 1, 2), nu AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS question_no FROM fi)
+SELECT session_id, CAST(question_no AS INTEGER) AS question_no, prompt, answer, [answer] || list_filter(pool || {_LIST(quiz.FILL_OPTIONS)}, lambda x: lower(x) <> lower(answer))[1:3] AS options FROM nu JOIN pl USING (session_id) WHERE question_no <= 3""")
 def cloze_questions(spark: SparkSession, d: str) -> DataFrame:
     return quiz.cloze(sections(spark, d).select("session_id", "section_number", "id", "section_text"), "session_id", ["section_number", "id"], "section_text", tx.CONCEPT_STOP_WORDS)
 
 
-@query()
+@query(f"""WITH t AS (SELECT DISTINCT session_id, section_number, id, coalesce(section_text, '') AS t FROM study_sections), p AS (SELECT session_id, section_number, id, unnest(string_split(regexp_replace(t, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(t, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(1)), 1) AS no FROM t),
+f AS (SELECT * REPLACE (trim(regexp_replace(s, '\\s+', ' ', 'g')) AS s) FROM p), n AS (SELECT session_id, array_to_string(regexp_extract_all(substr(s, 1, 220), '[A-Za-z][A-Za-z0-9-]*')[1:8], ' ') AS answer, row_number() OVER (PARTITION BY session_id ORDER BY section_number, id, no) AS question_no FROM f WHERE s <> '' AND len(string_split(s, ' ')) >= 7),
+q AS (SELECT * FROM n WHERE question_no <= 5), o AS (SELECT q.session_id, q.question_no, n.answer AS other, min(n.question_no) AS pos FROM q JOIN n ON n.session_id = q.session_id AND n.question_no > q.question_no WHERE n.answer <> '' AND lower(n.answer) <> lower(q.answer) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, question_no ORDER BY pos) AS r FROM o), l AS (SELECT session_id, question_no, list(other ORDER BY r) AS others FROM r WHERE r <= 3 GROUP BY 1, 2)
+SELECT session_id, CAST(question_no AS INTEGER) AS question_no, answer, [answer] || (coalesce(others, []) || {_LIST(quiz.FILL_DISTRACTORS)})[1:3] AS options FROM q LEFT JOIN l USING (session_id, question_no)""")
 def choice_questions(spark: SparkSession, d: str) -> DataFrame:
     return quiz.multiple_choice(sections(spark, d).select("session_id", "section_number", "id", "section_text"), "session_id", ["section_number", "id"], "section_text")
 
