@@ -160,7 +160,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
-@query()
+@query("""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS v FROM (SELECT DISTINCT item_id, text FROM heldout_items)),
+dg AS (SELECT doc_id, k, hash(w[k], w[k + 1], w[k + 2], w[k + 3]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS k FROM w)),
+ig AS (SELECT item_id, k AS j, hash(v[k], v[k + 1], v[k + 2], v[k + 3]) AS g FROM (SELECT item_id, v, unnest(range(1, len(v) - 2)) AS k FROM i)),
+s AS (SELECT DISTINCT doc_id, item_id, k + o AS a, j + o AS b FROM dg JOIN ig USING (g), (SELECT unnest(range(-8, 1)) AS o) o),
+e AS (SELECT doc_id, item_id, a, list_sum(list_transform(range(0, 12), lambda x: CASE WHEN w[a + x] = v[b + x] THEN 1 ELSE 0 END)) AS n FROM s JOIN w USING (doc_id) JOIN i USING (item_id) WHERE a >= 1 AND b >= 1 AND a + 11 <= len(w) AND b + 11 <= len(v))
+SELECT doc_id, item_id, count(DISTINCT a) AS windows, max(n) / 12 AS best FROM e WHERE n >= 10 GROUP BY 1, 2
+""")
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
     """Also windows in which up to a sixth of the words differ, with the best share of equal words."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), similarity=5 / 6)

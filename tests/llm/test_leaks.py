@@ -97,3 +97,24 @@ def test_near_windows_equal_brute_force():
             got = leaks.near_matches(index, index.seeds(leaks.seed_words(12, need)), texts, need)
             leaks.SEEDS_AT_ONCE = before
             assert {k[:3]: k[3] for k in zip(*(x.tolist() for x in got))} == want and len(got[0]) == len(want)
+
+
+def test_shingle_similarity_by_definition():
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(1, 3, (60, 12)).astype(np.uint64), rng.integers(1, 3, (60, 12)).astype(np.uint64)
+    b[:10] = a[:10]
+    for size in (1, 2, 5):
+        got = leaks.shingle_similarity(a, b, size)
+        for x, y, g in zip(a.tolist(), b.tolist(), got):
+            p, q = (Counter(tuple(z[i : i + size]) for i in range(13 - size)) for z in (x, y))
+            assert abs(g - sum((p & q).values()) / sum((p | q).values())) < 1e-12
+
+
+def test_equal_windows_are_one_entry(spark):
+    hot = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(i, hot) for i in range(300)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " . ".join([hot] * 2_000)), (2, "other")], "doc_id bigint, text string")
+    got = leaks.leaks(docs, items).collect()
+    assert len(got) == 300 and {r.doc_id for r in got} == {1} and all(r.best == 1.0 for r in got)
