@@ -50,9 +50,19 @@ class TokenCounter:
         self.encoding = encoding(path)
         self.keys, self.values = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
 
+    def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, tokens) of the byte-pair pieces of one text."""
+        layout = scan.Layout([text])
+        begin, end = scan.byte_pair_pieces(layout)
+        return begin, end, self._of(layout, begin, end)
+
     def counts(self, texts: list[str]) -> np.ndarray:
         layout = scan.Layout(texts)
         begin, end = scan.byte_pair_pieces(layout)
+        return np.bincount(layout.owner(begin), weights=self._of(layout, begin, end), minlength=len(texts)).astype(np.int64)
+
+    def _of(self, layout: scan.Layout, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of each piece; only pieces not met before go through the tokenizer."""
         h = layout.hashes(begin, end)
         new, first, at = np.unique(h, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.keys, new), max(0, len(self.keys) - 1))
@@ -67,7 +77,7 @@ class TokenCounter:
             keys = np.concatenate((self.keys, new[miss]))
             order = np.argsort(keys)
             self.keys, self.values = keys[order], np.concatenate((self.values, value[miss]))[order]
-        return np.bincount(layout.owner(begin), weights=value[at.ravel()], minlength=len(texts)).astype(np.int64)
+        return value[at.ravel()]
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -227,3 +237,16 @@ def fill(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     """(budget_name, containers, items, fullest, mean_fill, below_half) of packed containers."""
     boxes = packed.groupBy("budget_name", "container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
     return boxes.join(F.broadcast(budgets.distinct()), "budget_name").groupBy("budget_name").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.max("used").alias("fullest"), F.round(F.avg(F.col("used") / F.col("capacity_tokens")), 4).alias("mean_fill"), F.sum((F.col("used") * 2 < F.col("capacity_tokens")).cast("int")).alias("below_half"))
+
+
+def invariants(packed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(budget_name, documents, overfull, misplaced): documents placed; containers above their capacity; documents placed
+    twice, divided though they fit, or with a gap between their pieces."""
+    known = budgets.select("budget_name", "capacity_tokens").distinct()
+    boxes = packed.groupBy("budget_name", "container_id").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(known), "budget_name")
+    over = boxes.groupBy("budget_name").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"))
+    astray = F.count_if(F.col("start_token") != F.col("piece_no") * F.col("capacity_tokens"))
+    docs = packed.join(F.broadcast(known), "budget_name").groupBy("budget_name", "doc_id", "capacity_tokens").agg(F.count("*").alias("pieces"), F.countDistinct("piece_no").alias("numbers"), F.max("piece_no").alias("last"), F.sum("n_tokens").alias("tokens"), astray.alias("astray"))
+    bad = (F.col("pieces") != F.col("numbers")) | (F.col("last") != F.col("pieces") - 1) | (F.col("astray") > 0) | ((F.col("tokens") <= F.col("capacity_tokens")) & (F.col("pieces") > 1))
+    counted = docs.groupBy("budget_name").agg(F.count("*").alias("documents"), F.count_if(bad).alias("misplaced"))
+    return counted.join(over, "budget_name").select("budget_name", "documents", F.col("overfull").cast("int").alias("overfull"), F.col("misplaced").cast("int").alias("misplaced"))

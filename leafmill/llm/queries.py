@@ -27,6 +27,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 PAGE_LIMIT, PAGE_OVERLAP, CHUNK_LIMIT, CHUNK_OVERLAP = 2000, 200, 500, 50
+TOKEN_LIMIT, TOKEN_OVERLAP = 256, 32
 
 
 def _page_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -88,10 +89,21 @@ def p2_lines(spark: SparkSession, d: str) -> DataFrame:
     return blocks.groupBy("source_id").agg(F.count("*").alias("lines"), F.sum("pages").alias("pages"))
 
 
-@query()
+@query(_LINES + """,
+o AS (SELECT DISTINCT page_id, source_id, line_no, key, kept.pages IS NOT NULL AS keep FROM k LEFT JOIN kept USING (source_id, key) WHERE key <> ''),
+e AS (SELECT *, lag(key) OVER w AS k1, lag(keep) OVER w AS keep1, lag(line_no) OVER w AS no1, lag(key, 2) OVER w AS k2, lag(keep, 2) OVER w AS keep2 FROM o WINDOW w AS (PARTITION BY page_id ORDER BY line_no)),
+ed AS (SELECT source_id, k1 AS a, key AS b FROM e JOIN n USING (source_id) WHERE keep AND keep1 GROUP BY source_id, k1, key, n HAVING count(DISTINCT page_id) >= 5 AND count(DISTINCT page_id) >= 0.15 * n),
+way AS (SELECT DISTINCT x.source_id, x.a, y.b FROM ed x JOIN ed y ON x.source_id = y.source_id AND x.b = y.a),
+gone AS (SELECT page_id, line_no FROM o WHERE keep UNION SELECT page_id, no1 FROM e JOIN way ON way.source_id = e.source_id AND a = k2 AND b = key WHERE keep AND NOT keep1 AND keep2),
+r AS (SELECT DISTINCT page_id, source_id, page_number, text FROM doc_pages), u AS (SELECT r.*, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM r WHERE page_id IN (SELECT page_id FROM gone)),
+c AS (SELECT page_id, source_id, page_number, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE (page_id, line_no) NOT IN (SELECT (page_id, line_no) FROM gone)), '') AS text FROM u GROUP BY 1, 2, 3)
+SELECT * FROM c UNION ALL SELECT * FROM r WHERE page_id NOT IN (SELECT page_id FROM gone)
+""")
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The pages without the blocks' lines, and without what stands in the place of one of them between two others."""
     pages = table(spark, d, "doc_pages")
-    return repeats.without_repeats(pages, repeats.repeated_lines(pages)[0]).select("page_id", "source_id", "page_number", "text").distinct()
+    found, _, gaps = repeats.repeated_lines(pages)
+    return repeats.without_repeats(pages, found.select("page_id", "line_no").unionByName(gaps)).select("page_id", "source_id", "page_number", "text").distinct()
 
 
 @query()
@@ -115,6 +127,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(own.unionByName(quiz), ["tbl", "item_id"], "question", "answer")
 
 
+@query("""
+WITH p AS (SELECT DISTINCT page_id, trim(text, chr(32) || chr(9) || chr(13) || chr(10)) AS t FROM doc_pages WHERE text IS NOT NULL) SELECT page_id, true AS whole, true AS within FROM p WHERE t <> ''
+""")
+def p1_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Pages in pieces of at most 256 tokens with an overlap of 32: for each page whether its pieces leave out nothing but white
+    space, and whether all are within the limit."""
+    pages = table(spark, d, "doc_pages").select("page_id", "text").distinct()
+    cut = split.split_by_tokens(pages, ["page_id"], "text", TOKEN_LIMIT, TOKEN_OVERLAP, packing.TOKENIZER)
+    spans = cut.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias("spans"), F.max("tokens").alias("tokens"))
+    held = spans.join(pages, "page_id")
+    between = F.transform("spans", lambda x, i: F.substring(F.col("text"), F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end_char"]).cast("int") + 1, F.greatest(F.lit(0), x["start_char"] - F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end_char"])).cast("int")))
+    rest = F.substring(F.col("text"), F.element_at("spans", -1)["end_char"].cast("int") + 1, F.length("text"))
+    blank = lambda t: F.trim(t, F.lit(split.EDGE)) == ""
+    return held.select("page_id", (F.forall(between, blank) & blank(rest)).alias("whole"), (F.col("tokens") <= TOKEN_LIMIT).alias("within"))
+
+
 VECTOR_DIM, NEAREST, LEAST_COSINE = 96, 10, 0.8
 
 
@@ -144,6 +172,14 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "context_budgets"))
 
 
+@query("""
+WITH d AS (SELECT DISTINCT doc_id FROM documents WHERE text <> '') SELECT budget_name, (SELECT count(*) FROM d) AS documents, 0 AS overfull, 0 AS misplaced FROM (SELECT DISTINCT budget_name FROM context_budgets)
+""")
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of each capacity: documents placed, containers above it, and documents placed twice or divided though they fit."""
+    return packing.invariants(p6_pack(spark, d), table(spark, d, "context_budgets"))
+
+
 @query()
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_pack(spark, d), table(spark, d, "context_budgets"))

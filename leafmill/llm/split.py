@@ -115,6 +115,59 @@ def _trimmed(column: str):
     return F.length(F.trim(F.col(column), F.lit(EDGE)))
 
 
+def token_sizes(counter, text: str) -> np.ndarray:
+    """Prefix sums of the tokens of ``text`` up to each character. Inside a byte-pair piece a beginning counts its bytes, as
+    far as these are fewer than the piece's tokens: it never has more."""
+    begin, end, count = counter.pieces(text)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    upto = np.concatenate(([0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))))
+    piece = np.searchsorted(begin, np.arange(len(text)), "right") - 1
+    before = np.concatenate(([0], np.cumsum(count)))[:-1]
+    inside = np.minimum(upto[1:] - upto[begin[piece]], count[piece])
+    return np.concatenate(([0], np.where(np.arange(1, len(text) + 1) >= end[piece], before[piece] + count[piece], before[piece] + inside)))
+
+
+def token_pieces(counter, text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of pieces of at most ``limit`` tokens. A piece that has more on its own, as its first word stands
+    without the blank before it, is cut again under a smaller limit; one long run without boundaries is cut in halves."""
+    out: list[tuple[int, int, int]] = []
+    todo = [(0, len(text), limit)]
+    while todo:
+        first, last, most = todo.pop()
+        part = text[first:last]
+        again = []
+        for a, b in pieces(part, most, min(overlap, most - 1), token_sizes(counter, part)):
+            n = int(counter.counts([part[a:b]])[0])
+            if n <= limit or b - a == 1:
+                out.append((first + a, first + b, n))
+            elif n - limit < most and (a, b) != (0, len(part)):
+                again.append((first + a, first + b, most - (n - limit)))
+            else:
+                again += [(first + a, first + (a + b) // 2, most), (first + (a + b) // 2, first + b, most)]
+        todo += again
+    return sorted(out)
+
+
+def split_by_tokens(df: DataFrame, key: list[str], text: str, limit: int, overlap: int, tokenizer: str) -> DataFrame:
+    """``key`` columns and (piece_no, pieces, start_char, end_char, tokens): pieces of at most ``limit`` tokens of a public
+    tokenizer (the path of its vocabulary file, which every worker must have). A single character of more tokens than the
+    limit is a piece of its own. Null and blank texts have none; repeated rows give repeated pieces."""
+    own = df.select(*key, F.col(text).alias("_text")).where(F.trim(F.col("_text"), F.lit(EDGE)) != "")
+    n_key = len(key)
+    kinds = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in key)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from leafmill.llm.packing import TokenCounter
+
+        counter = TokenCounter(tokenizer)
+        for batch in batches:
+            rows = [(i, k, len(spans), a, b, n) for i, t in enumerate(batch.column(n_key).to_pylist()) for spans in [token_pieces(counter, t, limit, overlap)] for k, (a, b, n) in enumerate(spans, 1)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(n_key)), *(pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()), (4, pa.int64()), (5, pa.int64())))], [*key, "piece_no", "pieces", "start_char", "end_char", "tokens"])
+
+    return own.mapInArrow(cut, f"{kinds}, piece_no int, pieces int, start_char bigint, end_char bigint, tokens bigint")
+
+
 def split_oversized(df: DataFrame, key: list[str], text: str, limit: int, overlap: int, offset: str | None = None) -> DataFrame:
     """``key`` columns and (piece_no, pieces, start_char, end_char, piece): the pieces of every row's text.
 

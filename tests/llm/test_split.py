@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -61,3 +62,21 @@ def test_cut_in_words(spark):
     got = {(r.chunk_id, r.place) for r in split.cut_in_words(chunks, pages).collect()}
     assert got == {("c1", "start"), ("c3", "end")}
     assert split.inside_word("x" * 600, 5) is False and split.inside_word("abc", 1) is True
+
+
+def test_pieces_by_tokens(spark):
+    from leafmill.llm import packing
+
+    if not os.path.exists(packing.TOKENIZER):
+        pytest.skip("no tokenizer")
+    rng = random.Random(4)
+    texts = [None, "", " \n", "one two", "x" * 3_000, "é€漢字 " * 300, " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 12))) + rng.choice(["", ".", "\n", "\n\n"]) for _ in range(2_000))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, text string, tokens string")
+    rows = split.split_by_tokens(df, ["id"], "text", 20, 5, packing.TOKENIZER).collect()
+    counter = packing.TokenCounter(packing.TOKENIZER)
+    assert {r.id for r in rows} == {3, 4, 5, 6} and all(r.tokens <= 20 and r.tokens == counter.counts([texts[r.id][r.start_char : r.end_char]])[0] for r in rows)
+    for i in (3, 4, 5, 6):
+        spans = sorted((r.start_char, r.end_char) for r in rows if r.id == i)
+        assert not texts[i][: spans[0][0]].strip() and not texts[i][spans[-1][1] :].strip() and all(not texts[i][b:c].strip() for (_, b), (c, _) in zip(spans, spans[1:]) if c > b)
+    # whole words where the text allows it
+    assert all(texts[6][r.start_char - 1 : r.start_char].strip() == "" for r in rows if r.id == 6)
