@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.sources.tables import settle
 
 K1, B = 1.5, 0.75
 PARTS = 8
@@ -81,24 +82,29 @@ def gated(questions: DataFrame, chunks: DataFrame, k: int = 5, least_score: floa
     BM25 over its text, 2.5 and 2 idf for a term in title and concepts, three times the idf of each word of a phrase it
     has, 10 for being the section asked for and 8 for the chapter. It needs ``least_score`` and evidence: the number
     asked for, or a phrase, or two matched tokens, or else 2.5 times as much score, unless the question has one token.
+
+    The chunks' terms are found once and kept as a table with a column for each use; of the postings only those of terms
+    that the scope's questions have are made.
     """
     threshold = max(1.0, float(least_score))
     spread = lambda c: F.flatten(F.transform(tx.terms(c), tx.variants))
     concept_text = F.array_join(F.coalesce("key_concepts", F.array().cast("array<string>")), " ")
     c = chunks.select("scope", "chunk_id", "page_number", F.coalesce("section_number", F.lit(0)).alias("section_number"), spread("text").alias("tt"), spread("section_title").alias("ti"), spread(concept_text).alias("co"), *[F.concat(F.lit(" "), F.array_join(tx.terms(x), " "), F.lit(" ")).alias(n) for x, n in (("text", "nt"), ("section_title", "ni"), (concept_text, "nc"))])
-    c = c.withColumn("len", F.size("tt"))
+    c = settle(c.withColumn("len", F.size("tt")))
+    q = settle(query_terms(questions))
+    per_token = q.select("question_id", "scope", F.posexplode("tokens").alias("pos", "token")).withColumn("term", F.explode(tx.variants(F.col("token"))))
+    words_asked = per_token.select("scope", "term").unionByName(q.select("scope", F.explode("tokens").alias("term"))).distinct()
     stats = c.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(1), F.col("len"))).alias("avgdl"))
 
     def tagged_as(terms: str, field: str) -> Column:
         return F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(field).alias("f")))
 
     tagged = F.concat(tagged_as("tt", "t"), tagged_as("ti", "i"), tagged_as("co", "c"))
-    post = c.select("scope", "chunk_id", "page_number", "len", F.explode(tagged).alias("x")).groupBy("scope", "chunk_id", "page_number", "len", F.col("x.term").alias("term")).agg(F.count_if(F.col("x.f") == "t").alias("t"), F.count_if(F.col("x.f") == "i").alias("i"), F.count_if(F.col("x.f") == "c").alias("c"))
+    post = c.select("scope", "chunk_id", "page_number", "len", F.explode(tagged).alias("x")).withColumn("term", F.col("x.term")).join(words_asked, ["scope", "term"], "left_semi").groupBy("scope", "chunk_id", "page_number", "len", "term").agg(F.count_if(F.col("x.f") == "t").alias("t"), F.count_if(F.col("x.f") == "i").alias("i"), F.count_if(F.col("x.f") == "c").alias("c"))
+    post = settle(post)
     df = post.groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.1), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    q = query_terms(questions)
     refs = questions.select("question_id", tx.numbered_references("question", ["section", "sections"], ["חלק"]).alias("sections"), tx.numbered_references("question", ["chapter", "chapters", "ch"], ["פרק", "פרקים"]).alias("chapters"))
-    per_token = q.select("question_id", "scope", F.posexplode("tokens").alias("pos", "token")).withColumn("term", F.explode(tx.variants(F.col("token"))))
     asked = per_token.groupBy("question_id", "scope", "term").agg(F.collect_set("pos").alias("at"))
     asked = _in_parts(asked.join(df.join(stats, "scope").select("scope", "term", idf.alias("idf"), "avgdl"), ["scope", "term"]))
     hit = post.withColumn("part", _part()).join(asked, ["scope", "part", "term"])
@@ -107,7 +113,7 @@ def gated(questions: DataFrame, chunks: DataFrame, k: int = 5, least_score: floa
     base = hit.groupBy("question_id", "scope", "chunk_id", "page_number").agg(F.sum(one).alias("base"), F.flatten(F.collect_list("at")).alias("at"))
     # chunks of the section or chapter asked for need no common term
     numbered = refs.join(questions.select("question_id", "scope"), "question_id").where((F.size("sections") + F.size("chapters") > 0)).select("question_id", "scope", F.explode(F.array_distinct(F.concat("sections", "chapters"))).alias("section_number"))
-    by_number = numbered.join(chunks.select("scope", "chunk_id", "page_number", "section_number"), ["scope", "section_number"]).join(q.where(F.size("tokens") > 0).select("question_id"), "question_id")
+    by_number = numbered.join(c.select("scope", "chunk_id", "page_number", "section_number"), ["scope", "section_number"]).join(q.where(F.size("tokens") > 0).select("question_id"), "question_id")
     all_hits = base.unionByName(by_number.select("question_id", "scope", "chunk_id", "page_number", F.lit(0.0).alias("base"), F.array().cast("array<int>").alias("at"))).groupBy("question_id", "scope", "chunk_id", "page_number").agg(F.sum("base").alias("base"), F.flatten(F.collect_list("at")).alias("at"))
     # phrases: only where their terms are met anyway
     idf_of = df.join(stats, "scope").select("scope", "term", idf.alias("idf"))

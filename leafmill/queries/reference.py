@@ -51,6 +51,7 @@ _Q = "q AS (SELECT DISTINCT item_id AS question_id, pdf AS scope, question, answ
 _NAMED = f"np AS (SELECT DISTINCT page_id, {_SCOPE} AS scope, page_number, text FROM doc_pages WHERE {_SCOPE} IS NOT NULL)"
 _TIDY = "trim(regexp_replace(coalesce(text, ''), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s]+'), lambda x: x <> '')"
+_LIST = lambda words: "['" + "', '".join(words) + "']"
 _LEVEL = "CASE WHEN n = 0 THEN 'Easy' WHEN chars / n > 6.3 OR long / n > 0.22 THEN 'Hard' WHEN chars / n > 5.2 OR long / n > 0.12 THEN 'Medium' ELSE 'Easy' END"
 _TIMES = "CASE level WHEN 'Easy' THEN 1.0 WHEN 'Hard' THEN 1.45 ELSE 1.2 END"
 _SIZES = f"len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS chars, len(list_filter(w, lambda x: length(x) >= 10)) AS long"
@@ -289,7 +290,52 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
     return c.join(concepts, ["scope", "section_number"], "left")
 
 
-@query()
+_NUMBER = "(?:\\d{1,2}|" + "|".join(_NUMBERS) + ")"
+
+
+def _terms(x: str) -> str:
+    """SQL for the meaningful terms of a text."""
+    return f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9\\x{{0590}}-\\x{{05FF}}]+'), lambda y: length(y) > 1 AND NOT list_contains({_LIST(tx.STOP_WORDS)}, y))"
+
+
+def _variants(t: str) -> str:
+    """SQL for a term and its variants."""
+    plain = f"regexp_replace({t}, '^0+([0-9])', '\\1')"
+    return f"list_filter([{t}, CASE WHEN suffix({t}, 's') AND length({t}) > 3 THEN {t}[:-2] WHEN length({t}) > 2 AND regexp_matches({t}, '^[a-z]+$') THEN {t} || 's' END, CASE WHEN list_contains({_LIST(_NUMBERS)}, {plain}) THEN CAST(list_position({_LIST(_NUMBERS)}, {plain}) AS VARCHAR) WHEN try_cast({plain} AS INTEGER) BETWEEN 1 AND 10 AND regexp_matches({plain}, '^[0-9]+$') THEN {_LIST(_NUMBERS)}[CAST(try_cast({plain} AS INTEGER) AS BIGINT)] END], lambda z: z IS NOT NULL)"
+
+
+def _references(name: str, labels: list[str], hebrew: list[str]) -> str:
+    """SQL for a table of (question_id, n): the numbers that questions name after a label."""
+    value = lambda x: f"coalesce(try_cast({x} AS INTEGER), CAST(list_position({_LIST(_NUMBERS)}, {x}) AS INTEGER))"
+    pattern = "\\b(" + "|".join(labels) + ")\\.?\\s+(" + _NUMBER + ")(?:\\s*(?:-|to|and|&)\\s*(" + _NUMBER + "))?"
+    more = "(" + "|".join(hebrew) + ")\\s+(\\d{1,2})(?:\\s*(?:-|ו|and)\\s*(\\d{1,2}))?"
+    return f"""{name}_p AS (SELECT question_id, unnest(regexp_extract_all(lower(question), '{pattern}', 2)) AS a, unnest(regexp_extract_all(lower(question), '{pattern}', 3)) AS b FROM q UNION ALL SELECT question_id, unnest(regexp_extract_all(lower(question), '{more}', 2)), unnest(regexp_extract_all(lower(question), '{more}', 3)) FROM q),
+{name}_v AS (SELECT question_id, {value('a')} AS a, {value('b')} AS b FROM {name}_p), {name} AS (SELECT DISTINCT question_id, n FROM (SELECT question_id, unnest(CASE WHEN b > a AND b - a <= 10 THEN generate_series(a, b) ELSE [a, b] END) AS n FROM {name}_v) WHERE n BETWEEN 1 AND 99)"""
+
+
+_GATED = f"""WITH {_C}, {_Q}, first_s AS (SELECT filename AS scope, min(id) AS session_id FROM study_sessions GROUP BY 1), ts AS (SELECT DISTINCT scope, section_number, title, start_page, end_page, key_concepts FROM study_sections JOIN first_s USING (session_id)),
+tc AS (SELECT c.scope, c.chunk_id, c.page_number, c.text, min(struct_pack(n := section_number, t := title)) FILTER (WHERE section_number IS NOT NULL) AS s FROM c LEFT JOIN ts ON ts.scope = c.scope AND c.page_number BETWEEN start_page AND end_page GROUP BY 1, 2, 3, 4),
+kc AS (SELECT scope, section_number, min(key_concepts) AS key_concepts FROM ts GROUP BY 1, 2),
+ix AS (SELECT tc.scope, chunk_id, page_number, coalesce(s.n, 0) AS section_number, {_terms('text')} AS nt, {_terms("CASE WHEN s IS NULL THEN 'Unassigned section' ELSE s.t END")} AS ni, {_terms("array_to_string(coalesce(TRY_CAST(json_transform(key_concepts, '[\"VARCHAR\"]') AS VARCHAR[]), []), ' ')")} AS nc FROM tc LEFT JOIN kc ON kc.scope = tc.scope AND kc.section_number = coalesce(s.n, 0)),
+vx AS (SELECT *, flatten(list_transform(nt, lambda t: {_variants('t')})) AS tt, flatten(list_transform(ni, lambda t: {_variants('t')})) AS tits, flatten(list_transform(nc, lambda t: {_variants('t')})) AS co FROM ix),
+st AS (SELECT scope, count(*) AS n, avg(greatest(1, len(tt))) AS avgdl FROM vx GROUP BY 1),
+po AS (SELECT scope, chunk_id, page_number, len, term, count(*) FILTER (WHERE f = 't') AS t, count(*) FILTER (WHERE f = 'i') AS i, count(*) FILTER (WHERE f = 'c') AS c FROM (SELECT scope, chunk_id, page_number, len(tt) AS len, unnest(tt) AS term, 't' AS f FROM vx UNION ALL SELECT scope, chunk_id, page_number, len(tt), unnest(tits), 'i' FROM vx UNION ALL SELECT scope, chunk_id, page_number, len(tt), unnest(co), 'c' FROM vx) GROUP BY ALL),
+df AS (SELECT scope, term, greatest(0.1, ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf, avgdl FROM (SELECT scope, term, count(*) AS df FROM po GROUP BY ALL) JOIN st USING (scope)),
+qt AS (SELECT question_id, scope, {_terms('question')} AS tokens FROM q), tk AS (SELECT question_id, scope, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM qt),
+av AS (SELECT question_id, scope, term, list(DISTINCT pos) AS poss FROM (SELECT question_id, scope, pos, unnest({_variants('token')}) AS term FROM tk) GROUP BY ALL),
+ba AS (SELECT question_id, scope, chunk_id, page_number, sum(idf * (t * 2.5 / (t + 1.5 * (0.25 + 0.75 * greatest(1, len) / greatest(1.0, avgdl))) + CASE WHEN i > 0 THEN 2.5 ELSE 0 END + CASE WHEN c > 0 THEN 2.0 ELSE 0 END)) AS base, flatten(list(poss)) AS poss FROM av JOIN po USING (scope, term) JOIN df USING (scope, term) GROUP BY 1, 2, 3, 4),
+{_references('sx', ['section', 'sections'], ['חלק'])}, {_references('cx', ['chapter', 'chapters', 'ch'], ['פרק', 'פרקים'])},
+nb AS (SELECT DISTINCT question_id, q.scope, chunk_id, page_number FROM (SELECT * FROM sx UNION SELECT * FROM cx) r JOIN q USING (question_id) JOIN qt USING (question_id) JOIN ix ON ix.scope = q.scope AND ix.section_number = n WHERE len(tokens) > 0),
+al AS (SELECT question_id, scope, chunk_id, page_number, sum(base) AS base, flatten(list(poss)) AS poss FROM (SELECT * FROM ba UNION ALL SELECT question_id, scope, chunk_id, page_number, 0.0, [] FROM nb) GROUP BY 1, 2, 3, 4),
+ph AS (SELECT question_id, unnest(list_filter(flatten(list_transform([4, 3, 2], lambda k: list_transform(range(1, greatest(1, len(tokens) - k + 2)), lambda p: tokens[p:p + k - 1]))), lambda g: len(list_filter(g, lambda t: regexp_matches(t, '^[0-9]+$'))) = 0)) AS g FROM qt),
+fp AS (SELECT al.question_id, al.chunk_id, list(g) AS found, sum(list_sum(list_transform(g, lambda t: 0.0)) ) AS zero FROM al JOIN ph USING (question_id) JOIN ix ON ix.scope = al.scope AND ix.chunk_id = al.chunk_id WHERE contains(' ' || array_to_string(nt, ' ') || ' ', ' ' || array_to_string(g, ' ') || ' ') OR contains(' ' || array_to_string(ni, ' ') || ' ', ' ' || array_to_string(g, ' ') || ' ') OR contains(' ' || array_to_string(nc, ' ') || ' ', ' ' || array_to_string(g, ' ') || ' ') GROUP BY 1, 2),
+fw AS (SELECT question_id, chunk_id, flatten(found) AS words, len(found) AS phrases FROM fp), fb AS (SELECT w.question_id, w.chunk_id, 3.0 * sum(coalesce(idf, 0.1)) AS bonus FROM (SELECT question_id, chunk_id, unnest(words) AS term FROM fw) w JOIN q USING (question_id) LEFT JOIN df ON df.scope = q.scope AND df.term = w.term GROUP BY 1, 2),
+sc AS (SELECT al.*, tokens, coalesce(words, []) AS words, coalesce(phrases, 0) AS phrases, section_number > 0 AND section_number IN (SELECT n FROM sx WHERE sx.question_id = al.question_id) AS by_section, section_number > 0 AND section_number IN (SELECT n FROM cx WHERE cx.question_id = al.question_id) AS by_chapter, base + coalesce(bonus, 0.0) AS plain FROM al JOIN qt USING (question_id) JOIN ix ON ix.scope = al.scope AND ix.chunk_id = al.chunk_id LEFT JOIN fw ON fw.question_id = al.question_id AND fw.chunk_id = al.chunk_id LEFT JOIN fb ON fb.question_id = al.question_id AND fb.chunk_id = al.chunk_id),
+sd AS (SELECT *, plain + CASE WHEN by_section THEN 10.0 ELSE 0 END + CASE WHEN by_chapter THEN 8.0 ELSE 0 END AS score, list_filter(tokens, lambda t, i: list_contains(poss, i) OR list_contains(words, t)) AS matched FROM sc),
+ga AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, page_number, chunk_id) AS rank FROM sd WHERE score >= 1 AND (by_section OR by_chapter OR (len(matched) > 0 AND (phrases > 0 OR len(matched) >= 2 OR CASE WHEN len(tokens) = 1 THEN score >= 1 ELSE score >= 2.5 END))))"""
+
+
+@query(_GATED + """ SELECT question_id, chunk_id, page_number, round(score, 4) AS score, array_to_string(matched, ' ') AS matched, CASE WHEN phrases > 0 OR by_section OR by_chapter THEN array_to_string(list_filter([CASE WHEN phrases > 0 THEN 'phrase boost' END, CASE WHEN by_section THEN 'requested section number' END, CASE WHEN by_chapter THEN 'requested chapter mapped to section' END], lambda x: x IS NOT NULL), ', ') ELSE 'bm25 score' END AS passed_by, CAST(rank AS INTEGER) AS rank FROM ga WHERE rank <= 5""")
 def gated_top5(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.gated(questions(spark, d), _titled(spark, d))
 
@@ -457,7 +503,7 @@ def query_analysis(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.query_terms(questions(spark, d)).select("question_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("ignored", " ").alias("ignored"))
 
 
-@query()
+@query(f"WITH {_Q}, {_references('cx', ['chapter', 'chapters', 'ch'], ['פרק', 'פרקים'])} SELECT question_id, list(n ORDER BY n) AS chapters FROM cx GROUP BY 1")
 def numbered_references(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("question_id", tx.numbered_references("question", ["chapter", "chapters", "ch"], ["פרק", "פרקים"]).alias("chapters")).where(F.size("chapters") > 0)
 
@@ -541,7 +587,6 @@ def related_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SENT = "regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g')"
-_LIST = lambda words: "['" + "', '".join(words) + "']"
 
 
 @query(f"""WITH t AS (SELECT DISTINCT session_id, section_number, id, trim(regexp_replace(coalesce(section_text, ''), '[\\s\\p{{Z}}]+', ' ', 'g')) AS t FROM study_sections),
@@ -629,7 +674,10 @@ def important_words_top3(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.important_words(questions(spark, d), chunks(spark, d))
 
 
-@query()
+@query(_GATED + """, g5 AS (SELECT * FROM ga WHERE rank <= 5), fe AS (SELECT question_id FROM g5 GROUP BY 1 HAVING count(*) < 3), fi AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY page_number) AS r FROM (SELECT scope, page_number, min(chunk_id) AS chunk_id FROM c GROUP BY 1, 2)),
+mo AS (SELECT fe.question_id, fi.chunk_id, fi.page_number FROM fe JOIN q USING (question_id) JOIN fi USING (scope) WHERE r <= 8 AND (fe.question_id, fi.page_number) NOT IN (SELECT (question_id, page_number) FROM g5)),
+bo AS (SELECT question_id, chunk_id, page_number, rank AS was FROM g5 UNION ALL SELECT question_id, chunk_id, page_number, 1048576 FROM mo)
+SELECT question_id, chunk_id, page_number, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY was, page_number, chunk_id) AS rank FROM bo) WHERE rank <= 5""")
 def backfilled_top5(spark: SparkSession, d: str) -> DataFrame:
     q, c = questions(spark, d), _titled(spark, d)
     return retrieval.backfilled(retrieval.gated(q, c), q, c)
