@@ -123,6 +123,8 @@ def chapter_contexts(requests: DataFrame, chapters: DataFrame, pages: DataFrame,
     for, in that order, each under a line with its number, title and pages; the more chapters, the shorter each excerpt.
     sources has number, title, pages and how it was found of each chapter that has a text, in the same order."""
     asked = requests.select("request_id", "scope", F.posexplode("chapters").alias("at", "chapter_number"))
+    if "matched_by" not in chapters.columns:
+        chapters = chapters.withColumn("matched_by", F.lit("heading"))
     hit = asked.join(chapters, ["scope", "chapter_number"])
     spans = hit.withColumn("key", F.concat_ws("\x1f", F.col("request_id").cast("string"), F.col("at").cast("string")))
     texts = texts_in_range(spans.select("key", "scope", "start_page", "end_page"), pages, "key", " ", tidy=True)

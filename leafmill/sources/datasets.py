@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as tx
 from leafmill.operators.assemble import first_words
 from leafmill.operators.chunking import normalized
+from leafmill.sources.tables import settle
 
 PAGE = "page_number int, text string, source_id string, metadata map<string,string>"
 _EVAL = "question string, answer string, source_text string, pdf string, page int"
@@ -80,7 +81,11 @@ def corpus_pages(sections: DataFrame, wanted: DataFrame) -> DataFrame:
     line = lambda label, c: F.when(F.coalesce(normalized(c), F.lit("")) != "", F.concat(F.lit(label), normalized(c)))
     body = F.concat_ws("\n", F.concat(F.lit("Document ID: "), "doc_id"), line("Title: ", "title"), line("Abstract: ", "abstract"), F.concat(F.lit("Section "), F.col("section_id").cast("string"), F.lit(": "), "text"))
     # numbers: the sections of earlier documents, and the place among the own ones
-    n = x.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # documents are ranked in ranges of their ids, and the few ranges' counts added up
+    n = settle(x.groupBy("doc_id").agg(F.count("*").alias("n")).repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
+    ranges = n.groupBy("range").agg(F.sum("n").alias("m")).withColumn("start", F.sum("m").over(Window.orderBy("range")) - F.col("m")).select("range", "start")
+    inside = F.sum("n").over(Window.partitionBy("range").orderBy("doc_id")) - F.col("n")
+    n = n.withColumn("inside", inside).join(ranges, "range").select("doc_id", (F.col("start") + F.col("inside")).alias("before"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_id"))
     return x.withColumn("place", place).join(n, "doc_id").select((F.col("before") + F.col("place")).cast("int").alias("page_number"), body.alias("text"), F.col("doc_id").alias("source_id"), F.create_map().cast("map<string,string>").alias("metadata"))
 
