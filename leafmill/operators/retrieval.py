@@ -75,6 +75,34 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return own.select("question_id", "scope", "tokens", F.array_sort(F.array_distinct(F.array_except("raw", "tokens"))).alias("ignored"), phrases.alias("phrases"))
 
 
+# Terms that stand for others.
+SYNONYMS = {
+    "learn": ["learning", "learned"],
+    "learning": ["learn"],
+    "memory": ["memories"],
+    "memories": ["memory"],
+    "explain": ["explanation"],
+    "explanation": ["explain"],
+    "summarize": ["summary"],
+    "summary": ["summarize", "main", "idea", "key"],
+    "main": ["summary", "key"],
+    "idea": ["summary", "point"],
+    "ideas": ["summary", "idea", "points"],
+    "chapter": ["section", "topic"],
+    "section": ["chapter", "topic"],
+    "topic": ["chapter", "section"],
+}
+
+
+def expanded_terms(text: Column | str) -> Column:
+    """A text's distinct terms with their synonyms, singular or plural, and numbers as words or digits; sorted."""
+    own = F.array_distinct(tx.terms(text))
+    known = F.create_map(*[c for t, others in SYNONYMS.items() for c in (F.lit(t), F.array(*[F.lit(o) for o in others]))])
+    plural = lambda t: F.when(~t.endswith("s") & (F.length(t) > 2), F.concat(t, F.lit("s"))).when(t.endswith("s") & (F.length(t) == 3), F.concat(t, F.lit("s")))
+    more = F.flatten(F.transform(own, lambda t: F.concat(F.coalesce(F.try_element_at(known, t), F.array().cast("array<string>")), tx.variants(t), F.array_compact(F.array(plural(t))))))
+    return F.array_sort(F.array_distinct(F.concat(own, more)))
+
+
 def gated(questions: DataFrame, chunks: DataFrame, k: int = 5, least_score: float = 1.0) -> DataFrame:
     """(question_id, chunk_id, page_number, score, matched, passed_by, rank): lexical retrieval with an acceptance gate.
 

@@ -6,7 +6,7 @@ only the best of each batch are moved. A vector of zeros has similarity 0 to all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,6 +63,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+def mock_vector(text: str, dim: int = 128, most: int = 5000) -> np.ndarray:
+    """Counts of (code point + place) modulo ``dim`` over the first ``most`` characters, at unit length; zeros for no text."""
+    c = np.frombuffer(text[:most].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    v = np.bincount((c + np.arange(len(c))) % dim, minlength=dim).astype(np.float64)
+    n = np.linalg.norm(v)
+    return v / n if n else v
+
+
 def mock_slots(texts: DataFrame, key: str, text: str, dim: int = 128, most: int = 5000) -> DataFrame:
     """(key, vector): counts of (code point + place) modulo ``dim`` over the first ``most`` characters, at unit length.
 
@@ -71,13 +79,7 @@ def mock_slots(texts: DataFrame, key: str, text: str, dim: int = 128, most: int
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for t in pdf["_t"]:
-                t = t[:most] if isinstance(t, str) else ""
-                c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-                v = np.bincount((c + np.arange(len(c))) % dim, minlength=dim).astype(np.float64)
-                n = np.linalg.norm(v)
-                out.append(v / n if n else v)
+            out = [mock_vector(t if isinstance(t, str) else "", dim, most) for t in pdf["_t"]]
             yield pd.DataFrame({key: pdf[key], "vector": out})
 
     own = texts.select(F.col(key), F.col(text).alias("_t"))
@@ -115,3 +117,34 @@ def cache_key(provider: str, model: str, text: Column) -> Column:
 def cache_misses(texts: DataFrame, cache: DataFrame, provider: str, model: str, text: str = "text") -> DataFrame:
     """(cache_key, text): distinct texts that the cache (cache_key) does not have."""
     return texts.select(cache_key(provider, model, F.col(text)).alias("cache_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct().join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def save(store: DataFrame, path: str) -> None:
+    """Write a store, chunks with their vectors, as a table; what is there is replaced."""
+    store.write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    """A store that was written."""
+    return spark.read.parquet(path)
+
+
+def embedded(texts: DataFrame, key: str, text: str, embed: Callable[[list[str]], list], fallback: bool = True, dim: int = 128) -> DataFrame:
+    """(key, vector, provider): vectors of a function that takes a batch of texts. Where it fails on a batch that batch gets
+    mock vectors, unless ``fallback`` is off; blank texts, which such functions refuse, always do."""
+    own = texts.select(key, F.col(text).alias("_t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            asked = [t if isinstance(t, str) else "" for t in pdf["_t"]]
+            full = [i for i, t in enumerate(asked) if t.strip()]
+            vectors, names = [mock_vector(t, dim) for t in asked], ["mock"] * len(asked)
+            try:
+                for i, v in zip(full, embed([asked[i] for i in full]) if full else []):
+                    vectors[i], names[i] = np.asarray(v, dtype=np.float64), "given"
+            except Exception:
+                if not fallback:
+                    raise
+            yield pd.DataFrame({key: pdf[key], "vector": vectors, "provider": names})
+
+    return own.mapInPandas(run, f"{key} {own.schema[key].dataType.simpleString()}, vector array<double>, provider string")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import progress, retrieval, study
+from leafmill.functions import text as tx
+from leafmill.operators import planner, progress, retrieval, study
 from leafmill.queries import query
-from leafmill.queries.reference import _C, _GIVEN, _MERGED, _NAMED, _Q, chunks, graded_answers, named_pages, questions, saves, sections, sessions
+from leafmill.queries.reference import _C, _GIVEN, _MERGED, _NAMED, _Q, chunks, graded_answers, named_pages, questions, saves, sections, sessions, _terms
 from leafmill.sources.tables import table
 
 _S = "s AS (SELECT DISTINCT * FROM study_sections)"
@@ -210,3 +211,22 @@ def plain_baselines(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_Q} SELECT question_id, CAST(coalesce(try_cast(nullif(regexp_extract(question, '\\b(10|[1-9])\\b', 1), '') AS INTEGER), 5) AS INTEGER) AS wanted FROM q")
 def requested_counts(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("question_id", study.requested_count("question").alias("wanted"))
+
+
+@query(f"""WITH {_NAMED}, {_T}, {_S}, r AS (SELECT DISTINCT t.id AS session_id, page_number FROM t JOIN np ON np.scope = t.filename WHERE page_number > 0 AND {_TIDIED} <> ''), re AS (SELECT session_id, min(page_number) AS low, max(page_number) AS high FROM r GROUP BY 1),
+x AS (SELECT session_id, section_number, coalesce(start_page, 0) AS a, coalesce(end_page, 0) AS b FROM s), y AS (SELECT *, lag(b) OVER (PARTITION BY session_id ORDER BY section_number) AS before FROM x LEFT JOIN re USING (session_id)),
+m AS (SELECT DISTINCT x.session_id, section_number, page_number FROM x JOIN r ON r.session_id = x.session_id AND page_number BETWEEN a AND b)
+SELECT session_id, 'unreadable' AS fault FROM y WHERE low IS NULL UNION SELECT session_id, 'outside' FROM y WHERE a < low OR b > high UNION SELECT session_id, 'backwards' FROM y WHERE low IS NOT NULL AND a > b UNION SELECT session_id, 'backwards' FROM y WHERE a > b UNION SELECT session_id, 'overlap' FROM y WHERE a <= before
+UNION SELECT session_id, 'empty' FROM x WHERE session_id IN (SELECT session_id FROM re) AND (session_id, section_number) NOT IN (SELECT (session_id, section_number) FROM m) UNION SELECT session_id, 'uncovered' FROM r WHERE session_id IN (SELECT session_id FROM x) AND (session_id, page_number) NOT IN (SELECT (session_id, page_number) FROM m)""")
+def session_plan_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the sections of each session, held against its document's pages."""
+    own = sessions(spark, d).select(F.col("id").alias("session_id"), F.col("filename").alias("source")).distinct()
+    pages = named_pages(spark, d).withColumnRenamed("scope", "source").join(own, "source").select(F.col("session_id").alias("scope"), "page_number", "text")
+    found = planner.plan_faults(sections(spark, d).select(F.col("session_id").alias("scope"), "section_number", "start_page", "end_page"), pages)
+    return found.withColumnRenamed("scope", "session_id")
+
+
+@query(f"""WITH {_Q}, e AS (SELECT question_id, list_distinct({_terms('question')}) AS t FROM q) SELECT question_id, len(t) AS terms FROM e""")
+def question_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct meaningful terms of each question."""
+    return questions(spark, d).select("question_id", F.size(F.array_distinct(tx.terms("question"))).cast("bigint").alias("terms"))

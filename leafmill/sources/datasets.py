@@ -159,3 +159,26 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     first = F.when(F.col("page_number") >= 0, F.col("page_number") + 1)
     name = F.element_at(F.split(F.coalesce(F.nullif("source_id", F.lit("")), F.try_element_at("metadata", F.lit("source")), F.lit("Uploaded PDF")), "/"), -1)
     return pages.withColumn("text", tx.clean_markup("text")).where("text <> ''").withColumn("page_number", first).withColumn("source_id", name)
+
+
+def benchmark_root(spark: SparkSession, path: str) -> str:
+    """The first folder at or below ``path`` that has queries, qrels and answers: itself, or what ends in pdf/arxiv."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for pattern in ("", "/official/pdf/arxiv", "/pdf/arxiv", "/*/official/pdf/arxiv", "/*/pdf/arxiv", "/*/*/pdf/arxiv"):
+        for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path + pattern)) or []:
+            folder = found.getPath().toString()
+            if all(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.json")) for n in ("queries", "qrels", "answers")):
+                return folder
+    raise FileNotFoundError(f"no queries, qrels and answers below {path}")
+
+
+def rows_as_pages(rows: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """DocumentPage rows of flat rows with a text: a page for each, numbered by ``key`` (an int)."""
+    return rows.where(F.trim(text) != "").select(F.col(key).cast("int").alias("page_number"), F.col(text).alias("text"), F.lit(source).alias("source_id"), F.create_map(F.lit("source"), F.lit(source)).alias("metadata"))
+
+
+def saved_states(rows: DataFrame, key: str) -> DataFrame:
+    """(key, payload): each row's other columns as one JSON text, nulls kept."""
+    return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key]), {"ignoreNullFields": "false"}).alias("payload"))

@@ -116,3 +116,40 @@ def test_baselines_side_by_side(spark):
     c = spark.createDataFrame([("d", "c1", 1, "the graph is here"), ("d", "c2", 2, "other")], "scope string, chunk_id string, page_number int, text string")
     got = {r.method for r in retrieval.baselines(q, c).collect()}
     assert got == set(retrieval.BASELINES)
+
+
+def test_plan_faults(spark):
+    pages = spark.createDataFrame([("d", n, "text") for n in (1, 2, 3, 200)] + [("d", 4, " "), ("e", 1, None), ("f", 1, "x")], "scope string, page_number int, text string")
+    kind = "scope string, section_number int, start_page int, end_page int"
+    faults = lambda rows, target=None: {tuple(r) for r in planner.plan_faults(spark.createDataFrame(rows, kind), pages, target).collect()}
+    assert faults([("d", 1, 1, 2), ("d", 2, 3, 200), ("f", 1, 1, 1)]) == set()
+    assert faults([("d", 1, 1, 2), ("d", 2, 2, 300), ("d", 3, 4, 4), ("d", 4, None, 3)]) == {("d", x) for x in ("overlap", "outside", "empty")}
+    assert faults([("d", 1, 3, 1), ("e", 1, 1, 1)]) == {("d", "backwards"), ("d", "empty"), ("d", "uncovered"), ("e", "unreadable")}
+    target = spark.createDataFrame([("f", 2)], "scope string, sections int")
+    assert faults([("f", 1, 1, 1)], target) == {("f", "count")} and faults([("f", 1, 1, 2_000_000_000)]) == {("f", "outside")}
+
+
+def test_stores_and_terms(spark, tmp_path):
+    from leafmill.operators import vectors
+    from leafmill.sources import datasets
+
+    texts = spark.createDataFrame([(1, "alpha"), (2, ""), (3, None)], "id int, t string")
+    good = vectors.embedded(texts, "id", "t", lambda batch: [[1.0, 2.0] for _ in batch])
+    got = {r.id: (r.provider, len(r.vector)) for r in good.collect()}
+    assert got == {1: ("given", 2), 2: ("mock", 128), 3: ("mock", 128)}
+
+    def fails(batch):
+        raise RuntimeError("down")
+
+    assert {r.provider for r in vectors.embedded(texts, "id", "t", fails).collect()} == {"mock"}
+    vectors.save(good, str(tmp_path / "store"))
+    assert vectors.load(spark, str(tmp_path / "store")).count() == 3
+    words = spark.createDataFrame([("Summary of chapter 2",), (None,), ("cats bus gas",)], "t string").select(retrieval.expanded_terms("t").alias("w")).collect()
+    assert {"summary", "summarize", "main", "idea", "key", "chapter", "section", "topic", "chapters"} <= set(words[0].w) and words[1].w == [] and {"cat", "cats"} <= set(words[2].w)
+    root = tmp_path / "x" / "official" / "pdf" / "arxiv"
+    root.mkdir(parents=True)
+    for n in ("queries", "qrels", "answers"):
+        (root / f"{n}.json").write_text("{}")
+    assert datasets.benchmark_root(spark, str(tmp_path)).endswith("official/pdf/arxiv")
+    assert datasets.rows_as_pages(texts, "id", "t", "s").count() == 1
+    assert datasets.saved_states(texts, "id").where("id = 3").first().payload == '{"t":null}'
