@@ -75,13 +75,18 @@ def repeated_lines(pages: DataFrame, page_id: str = "page_id", source_id: str =
         return by_source.join(parts, "source_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("parts")
 
     kept = spread(node.groupBy("source_id").agg(F.collect_set("line").alias("kept")))
-    worded = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("no"), x.alias("line"))), lambda x: x["line"] != 0)
-    met = lined.join(kept, ["source_id", "part"]).withColumn("worded", worded)
-    back = lambda i, k: F.when(i >= k, F.get(F.col("worded"), i - k))
-    known = F.transform("worded", lambda x: F.struct(x["no"].alias("no"), x["line"].alias("line"), F.array_contains("kept", x["line"]).alias("keep")))
-    met = met.withColumn("worded", known)
-    mark = lambda x, i: F.struct(x["no"].alias("line_no"), x["line"].alias("line"), x["keep"].alias("keep"), F.when(back(i, 1)["keep"], back(i, 1)["line"]).alias("before"), F.when(~back(i, 1)["keep"] & back(i, 2)["keep"], F.struct(back(i, 2)["line"].alias("line"), back(i, 1)["no"].alias("no"))).alias("over"))
-    marked = settle(met.select("page_id", "source_id", "part", F.filter(F.transform("worded", mark), lambda x: x["keep"]).alias("marks")).where(F.size("marks") > 0))
+    numbered = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("no"), x.alias("line"))), lambda x: x["line"] != 0)
+    known = F.transform(numbered, lambda x: F.struct(x["no"].alias("no"), x["line"].alias("line"), F.array_contains("kept", x["line"]).alias("keep")))
+
+    def marked_in(w):
+        """Kept lines of a page's lines with letters, with the line before if it is kept, or else with the one before that."""
+        one, two = (lambda i: F.when(i >= 1, F.get(w, i - 1))), (lambda i: F.when(i >= 2, F.get(w, i - 2)))
+        mark = lambda x, i: F.struct(x["no"].alias("line_no"), x["line"].alias("line"), x["keep"].alias("keep"), F.when(one(i)["keep"], one(i)["line"]).alias("before"), F.when(~one(i)["keep"] & two(i)["keep"], F.struct(two(i)["line"].alias("line"), one(i)["no"].alias("no"))).alias("over"))
+        return F.filter(F.transform(w, mark), lambda x: x["keep"])
+
+    # as the only element of an array the lines are made once, and not anew for each look at a line before
+    marks = F.get(F.transform(F.array(known), marked_in), F.lit(0))
+    marked = settle(lined.join(kept, ["source_id", "part"]).select("page_id", "source_id", "part", marks.alias("marks")).where(F.size("marks") > 0))
     pairs = F.array_distinct(F.transform(F.filter("marks", lambda x: x["before"].isNotNull()), lambda x: F.struct(x["before"].alias("a"), x["line"].alias("b"))))
     edge = marked.select("source_id", F.explode(pairs).alias("e")).groupBy("source_id", "e.a", "e.b").agg(F.count("*").alias("n"))
     edge = edge.join(share, "source_id").where((F.col("n") >= min_pages) & (F.col("n") >= F.col("in_source") * F.lit(min_share) - 1e-9)).select("source_id", "a", "b")
