@@ -253,11 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, subjects: list[str], doc_id: str =
     mined = rows.where(~held_out)
     rules = mine(transactions(mined, None), subjects, FIRST_CONFIDENCE)
     rules.least = 1.0
-    rules = calibrated(mine(transactions(mined, rules), subjects), rows.where(held_out))
-    # the thresholds are settled; the rules themselves come from all of the sample
-    whole = mine(transactions(rows, rules), subjects)
-    whole.least, whole.share = rules.least, rules.share
-    return whole
+    return calibrated(mine(transactions(mined, rules), subjects), rows.where(held_out))
 
 
 def calibrated(rules: Rules, held: DataFrame) -> Rules:
