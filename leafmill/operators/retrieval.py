@@ -103,7 +103,7 @@ def expanded_terms(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(own, more)))
 
 
-def gated(questions: DataFrame, chunks: DataFrame, k: int = 5, least_score: float = 1.0) -> DataFrame:
+def gated(questions: DataFrame, chunks: DataFrame, k: int = 5, least_score: float = 1.0, diagnostics: bool = False) -> DataFrame:
     """(question_id, chunk_id, page_number, score, matched, passed_by, rank): lexical retrieval with an acceptance gate.
 
     Chunks have section_number, section_title and key_concepts too. Terms count with their variants. A chunk scores
@@ -112,7 +112,7 @@ def gated(questions: DataFrame, chunks: DataFrame, k: int = 5, least_score: floa
     asked for, or a phrase, or two matched tokens, or else 2.5 times as much score, unless the question has one token.
 
     The chunks' terms are found once and kept as a table with a column for each use; of the postings only those of terms
-    that the scope's questions have are made.
+    that the scope's questions have are made. ``diagnostics`` adds unmatched and ignored terms, phrases met and threshold.
     """
     threshold = max(1.0, float(least_score))
     spread = lambda c: F.flatten(F.transform(tx.terms(c), tx.variants))
@@ -159,7 +159,8 @@ def gated(questions: DataFrame, chunks: DataFrame, k: int = 5, least_score: floa
     enough = by_section | by_chapter | ((F.size("matched") > 0) & ((F.size("found") > 0) | (F.size("matched") >= 2) | F.when(F.size("tokens") == 1, F.col("score") >= threshold).otherwise(F.col("score") >= max(2.5 * threshold, 2.5))))
     passed = F.array_compact(F.array(F.when(F.size("found") > 0, "phrase boost"), F.when(by_section, "requested section number"), F.when(by_chapter, "requested chapter mapped to section")))
     x = x.where((F.col("score") >= threshold) & enough).withColumn("passed_by", F.when(F.size(passed) > 0, F.array_join(passed, ", ")).otherwise("bm25 score"))
-    return top(x, k, *_order()).select("question_id", "chunk_id", "page_number", F.round("score", 4).alias("score"), F.array_join("matched", " ").alias("matched"), "passed_by", "rank")
+    more = [F.array_join(F.array_except("tokens", "matched"), " ").alias("unmatched"), F.array_join("ignored", " ").alias("ignored"), F.array_join(F.array_sort(F.array_distinct("found")), "; ").alias("phrases"), F.lit(threshold).alias("threshold")] if diagnostics else []
+    return top(x, k, *_order()).select("question_id", "chunk_id", "page_number", F.round("score", 4).alias("score"), F.array_join("matched", " ").alias("matched"), "passed_by", "rank", *more)
 
 
 def minmax(df: DataFrame, by: str = "question_id", score: str = "score", to: str = "norm") -> DataFrame:

@@ -674,6 +674,13 @@ def important_words_top3(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.important_words(questions(spark, d), chunks(spark, d))
 
 
+@query(_GATED + """, ra AS (SELECT question_id, list_filter(regexp_extract_all(lower(question), '[a-z0-9\\x{0590}-\\x{05FF}]+'), lambda x: length(x) > 1) AS r FROM q), fs AS (SELECT question_id, chunk_id, array_to_string(list_sort(list_distinct(list_transform(found, lambda g: array_to_string(g, ' ')))), '; ') AS phrases FROM fp)
+SELECT ga.question_id, ga.chunk_id, array_to_string(list_filter(tokens, lambda t, i: NOT list_contains(matched, t) AND list_position(tokens, t) = i), ' ') AS unmatched, array_to_string(list_sort(list_distinct(list_filter(r, lambda x: NOT list_contains(tokens, x)))), ' ') AS ignored, coalesce(fs.phrases, '') AS phrases, 1.0 AS threshold FROM ga JOIN ra ON ra.question_id = ga.question_id LEFT JOIN fs ON fs.question_id = ga.question_id AND fs.chunk_id = ga.chunk_id WHERE rank <= 5""")
+def gated_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Of each chunk found: the question's terms it lacks, those that don't count, the phrases it has."""
+    return retrieval.gated(questions(spark, d), _titled(spark, d), diagnostics=True).select("question_id", "chunk_id", "unmatched", "ignored", "phrases", "threshold")
+
+
 @query(_GATED + """, g5 AS (SELECT * FROM ga WHERE rank <= 5), fe AS (SELECT question_id FROM g5 GROUP BY 1 HAVING count(*) < 3), fi AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY page_number) AS r FROM (SELECT scope, page_number, min(chunk_id) AS chunk_id FROM c GROUP BY 1, 2)),
 mo AS (SELECT fe.question_id, fi.chunk_id, fi.page_number FROM fe JOIN q USING (question_id) JOIN fi USING (scope) WHERE r <= 8 AND (fe.question_id, fi.page_number) NOT IN (SELECT (question_id, page_number) FROM g5)),
 bo AS (SELECT question_id, chunk_id, page_number, rank AS was FROM g5 UNION ALL SELECT question_id, chunk_id, page_number, 1048576 FROM mo)
