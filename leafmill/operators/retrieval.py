@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.operators import ranking
 from leafmill.sources.tables import settle
 
 K1, B = 1.5, 0.75
@@ -189,10 +190,9 @@ def rerank(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, k: in
 
 def keyword_overlap(questions: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """Baseline: common white-space words; chunks without any are left out."""
-    post = chunks.select("scope", "chunk_id", "page_number", F.explode(F.array_distinct(tx.blank_words("text"))).alias("w")).withColumn("part", _part())
-    asked = _in_parts(questions.select("question_id", "scope", F.explode(F.array_distinct(tx.blank_words("question"))).alias("w")))
-    hit = post.join(asked, ["scope", "part", "w"]).groupBy("question_id", "chunk_id", "page_number").agg(F.count("*").cast("double").alias("score"))
-    return top(hit, k, *_order())
+    words = lambda c: F.array_join(F.array_distinct(tx.blank_words(c)), " ").alias("words")
+    found = ranking.top_of_blocks(questions.select("question_id", "scope", words("question")), chunks.select("scope", "chunk_id", "page_number", words("text")), k, bm25=False)
+    return top(found, k, *_order())
 
 
 def document_order(questions: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
