@@ -46,3 +46,14 @@ def test_keyword_overlap_moves_no_pairs(spark, monkeypatch, block):
     found = retrieval.keyword_overlap(questions, chunks).collect()
     assert shuffled(spark) - before < 400 * 300 / 4
     assert {(r["question_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in found} == overlap(q, c, 3)
+
+
+def test_plain_baselines_move_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 50)
+    q, c, questions, chunks = made(spark)
+    before = shuffled(spark)
+    found = retrieval.baselines(questions, chunks, names=["document_order", "keyword_overlap"]).collect()
+    assert shuffled(spark) - before < 400 * 300 / 4
+    assert {(r["question_id"], r["rank"]): r["chunk_id"] for r in found if r["method"] == "keyword_overlap"} == {i: x for i, (x, _) in overlap(q, c, 3).items()}
+    first = sorted((p, x) for s, x, p, _ in c if s == "a")[:3]
+    assert sorted({(r["rank"], r["chunk_id"]) for r in found if r["method"] == "document_order" and r["question_id"] < 300}) == [(i, x) for i, (_, x) in enumerate(first, 1)]
