@@ -41,30 +41,12 @@ def _in_parts(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
-def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question_id, scope, chunk_id, page_number, score) of every chunk that shares a term with the question."""
-    lists = chunks.select("scope", "chunk_id", "page_number", tx.plain_terms("text").alias("t"))
-    stats = lists.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    post = lists.withColumn("len", F.size("t")).select("scope", "chunk_id", "page_number", "len", F.explode("t").alias("term")).groupBy("scope", "chunk_id", "page_number", "len", "term").agg(F.count("*").alias("tf"))
-    df = post.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    asked = questions.select("question_id", "scope", F.explode(tx.plain_terms("question")).alias("term")).groupBy("question_id", "scope", "term").agg(F.count("*").alias("qf"))
-    asked = asked.join(df, ["scope", "term"]).join(stats, "scope")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = _in_parts(asked.select("question_id", "scope", "term", (idf * F.col("qf")).alias("w"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl")))
-    hit = post.withColumn("part", _part()).join(asked, ["scope", "part", "term"])
-    one = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return hit.groupBy("question_id", "scope", "chunk_id", "page_number").agg(F.sum(one).alias("score"))
-
-
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = 3, padded: bool = False) -> DataFrame:
     """(question_id, chunk_id, page_number, score, rank). ``padded``: chunks without a common term follow with 0, in
     order, where fewer than ``k`` have one; questions without terms have no rows either way."""
-    scored = bm25_scores(questions, chunks).select("question_id", "chunk_id", "page_number", "score")
-    if padded:
-        first = top(chunks.select("scope", "chunk_id", "page_number"), k, F.asc("page_number"), F.asc("chunk_id"), by="scope").drop("rank")
-        rest = questions.where(F.size(tx.plain_terms("question")) > 0).select("question_id", "scope").join(first, "scope").select("question_id", "chunk_id", "page_number").join(top(scored, k, *_order()).select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-        scored = top(scored, k, *_order()).drop("rank").unionByName(rest.withColumn("score", F.lit(0.0)))
-    return top(scored, k, *_order())
+    words = lambda c: F.array_join(tx.plain_terms(c), " ").alias("words")
+    found = ranking.top_of_blocks(questions.select("question_id", "scope", words("question")), chunks.select("scope", "chunk_id", "page_number", words("text")), k, bm25=True, padded=padded)
+    return top(found, k, *_order())
 
 
 def query_terms(questions: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Ranking by blocks: the same as over all pairs, and no pair is shuffled."""
 
+import math
 import random
 
 import pytest
@@ -57,3 +58,41 @@ def test_plain_baselines_move_no_pairs(spark, monkeypatch):
     assert {(r["question_id"], r["rank"]): r["chunk_id"] for r in found if r["method"] == "keyword_overlap"} == {i: x for i, (x, _) in overlap(q, c, 3).items()}
     first = sorted((p, x) for s, x, p, _ in c if s == "a")[:3]
     assert sorted({(r["rank"], r["chunk_id"]) for r in found if r["method"] == "document_order" and r["question_id"] < 300}) == [(i, x) for i, (_, x) in enumerate(first, 1)]
+
+
+def bm25(q, c, k, padded=False):
+    terms = {x: t.lower().split() for _, x, _, t in c}
+    out = {}
+    for i, scope, question in q:
+        own = [x for s, x, _, _ in c if s == scope]
+        mean = sum(len(terms[x]) for x in own) / max(1, len(own))
+        asked, rows = question.lower().split(), []
+        df = {w: sum(w in terms[x] for x in own) for w in asked}
+        for s, x, p, _ in c:
+            if s == scope and (padded or {*asked} & {*terms[x]}):
+                score = sum(math.log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * terms[x].count(w) * 2.5 / (terms[x].count(w) + 1.5 * (0.25 + 0.75 * len(terms[x]) / mean)) for w in asked)
+                rows.append((-round(score, 9), p, x))
+        out |= {(i, r): x for r, (_, _, x) in enumerate(sorted(rows)[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("padded", [False, True])
+def test_bm25_moves_no_pairs(spark, monkeypatch, padded):
+    monkeypatch.setattr(ranking, "BLOCK", 50)
+    monkeypatch.setattr(ranking, "CELLS", 3_000)
+    q, c, questions, chunks = made(spark)
+    before = shuffled(spark)
+    found = ranked(retrieval.bm25(questions, chunks, 5, padded))
+    assert shuffled(spark) - before < 400 * 300 / 4
+    assert found == bm25(q, c, 5, padded)
+
+
+def test_copies_of_a_chunk_count_once(spark):
+    """One chunk_id on one page with two texts is one chunk, as in SQL."""
+    chunks = spark.createDataFrame([("a", "c1", 1, "tree tree"), ("a", "c1", 1, "tree heap leaf"), ("a", "c2", 2, "tree")], "scope string, chunk_id string, page_number int, text string")
+    questions = spark.createDataFrame([(1, "a", "tree heap")], "question_id bigint, scope string, question string")
+    assert [(r.chunk_id, r.score) for r in retrieval.keyword_overlap(questions, chunks).orderBy("rank").collect()] == [("c1", 2.0), ("c2", 1.0)]
+    idf = lambda df: math.log(1 + (3 - df + 0.5) / (df + 0.5))
+    one = lambda tf, n: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 2))
+    got = {r.chunk_id: r.score for r in retrieval.bm25(questions, chunks).collect()}
+    assert got == pytest.approx({"c1": idf(3) * (one(2, 2) + one(1, 3)) + idf(1) * one(1, 3), "c2": idf(3) * one(1, 1)})
