@@ -24,7 +24,8 @@ def named_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_chunks").select(F.col("source_id").alias("scope"), "chunk_id", "page_number", "text").distinct()
+    """DocumentChunk rows, each once, spread by chunk_id: joins on it move no texts again."""
+    return table(spark, d, "doc_chunks").select(F.col("source_id").alias("scope"), "chunk_id", "page_number", "text").repartition("chunk_id").distinct()
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
