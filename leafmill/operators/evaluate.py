@@ -40,10 +40,24 @@ def evaluate(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame) -> D
     ``questions``: (question_id, answer, source_text); ``retrieved``: (question_id, chunk_id, rank); ``chunks``: (scope,
     chunk_id, text). Questions for which nothing was retrieved have zeros and nulls.
     """
-    texts = retrieved.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("r")).select("question_id", F.col("r.text").alias("texts"))
-    x = questions.select("question_id", "answer", "source_text").join(texts, "question_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    return _measured(_texts(questions, retrieved, chunks).withColumn("texts", F.col("r.text")))
+
+
+def evaluate_depths(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame, depths: list[int]) -> DataFrame:
+    """The same for the first so many of the retrieved, as ``depth``: texts are joined once for all depths."""
+    x = _texts(questions, retrieved, chunks).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
+    return _measured(x.withColumn("texts", F.transform(F.filter("r", lambda t: t["rank"] <= F.col("depth")), lambda t: t["text"])), "depth")
+
+
+def _texts(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
+    texts = retrieved.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("r"))
+    return questions.select("question_id", "answer", "source_text").join(texts, "question_id", "left")
+
+
+def _measured(x: DataFrame, *more: str) -> DataFrame:
+    x = x.withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
     context = F.array_join("texts", "\n")
-    return x.select("question_id", token_f1(context, "answer").alias("f1"), precision_at(F.col("texts"), "source_text").alias("precision"), recall_at(F.col("texts"), "source_text").alias("recall"), grounding(context, context).alias("grounding"))
+    return x.select("question_id", *more, token_f1(context, "answer").alias("f1"), precision_at(F.col("texts"), "source_text").alias("precision"), recall_at(F.col("texts"), "source_text").alias("recall"), grounding(context, context).alias("grounding"))
 
 
 def averages(rows: DataFrame, by: str = "config") -> DataFrame:

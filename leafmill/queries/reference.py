@@ -469,11 +469,7 @@ def answer_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     q, c = questions(spark, d), chunks(spark, d)
-    ranked = retrieval.bm25(q, c, 5)
-    rows = None
-    for k in (1, 3, 5):
-        e = evaluate.evaluate(q, ranked.where(F.col("rank") <= k), c).withColumn("config", F.lit(f"top{k}"))
-        rows = e if rows is None else rows.unionByName(e)
+    rows = evaluate.evaluate_depths(q, retrieval.bm25(q, c, 5), c, [1, 3, 5]).withColumn("config", F.concat(F.lit("top"), F.col("depth").cast("string")))
     return evaluate.averages(rows)
 
 

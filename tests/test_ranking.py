@@ -96,3 +96,14 @@ def test_copies_of_a_chunk_count_once(spark):
     one = lambda tf, n: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 2))
     got = {r.chunk_id: r.score for r in retrieval.bm25(questions, chunks).collect()}
     assert got == pytest.approx({"c1": idf(3) * (one(2, 2) + one(1, 3)) + idf(1) * one(1, 3), "c2": idf(3) * one(1, 1)})
+
+
+def test_depths_are_evaluations_of_the_first(spark):
+    from leafmill.operators import evaluate
+
+    chunks = spark.createDataFrame([("a", f"c{i}", t) for i, t in enumerate(["one two", "three one", "four"])], "scope string, chunk_id string, text string")
+    questions = spark.createDataFrame([(1, "one four", "four"), (2, "two", None)], "question_id bigint, answer string, source_text string")
+    found = spark.createDataFrame([(1, "c0", 1), (1, "c1", 2), (1, "c2", 3)], "question_id bigint, chunk_id string, rank int")
+    rows = evaluate.evaluate_depths(questions, found, chunks, [1, 2, 3])
+    for k in (1, 2, 3):
+        assert sorted(map(tuple, rows.where(f"depth = {k}").drop("depth").collect())) == sorted(map(tuple, evaluate.evaluate(questions, found.where(f"rank <= {k}"), chunks).collect()))
