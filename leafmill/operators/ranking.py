@@ -10,6 +10,7 @@ lies in one, and before, over all of its chunks, where it is large.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,3 +221,181 @@ def _scored(q_row, q_code, q0, q1, c_row, c_code, c0, c1, length, chunk_id, page
             qi, ui = best(s, k)
             yield q0 + of[many[i + qi]], c0 + row_of_unit[u + ui], s[qi, ui]
         u = v
+
+
+_NUMBERS = {x: y for i, w in enumerate(tx.NUMBER_WORDS, 1) for x, y in ((w, str(i)), (str(i), w))}
+
+
+def variants(term: str) -> list[str]:
+    """As ``text.variants``."""
+    other = term[:-1] if term.endswith("s") and len(term) > 3 else term + "s" if len(term) > 2 and re.fullmatch("[a-z]+", term) else None
+    return [v for v in (term, other, _NUMBERS.get(re.sub(r"^0+(?=[0-9])", "", term))) if v is not None]
+
+
+def phrases_of(tokens: list[str]) -> list[tuple[str, ...]]:
+    """Runs of 4 to 2 tokens without a number alone."""
+    return [g for n in (4, 3, 2) for g in (tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)) if not any(re.fullmatch("[0-9]+", t) for t in g)]
+
+
+class _Met:
+    """Rows of a block by a key, each row once: ``of(key, first, end)`` are those from first to end."""
+
+    def __init__(self, key: np.ndarray, row: np.ndarray, rows: int):
+        pair, self.times = np.unique(key * rows + row, return_counts=True) if len(key) else (np.empty(0, dtype=np.int64), np.empty(0))
+        self.rows, self.pair = rows, pair
+
+    def of(self, key: int, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.pair, [key * self.rows + first, key * self.rows + end])
+        return self.pair[a:b] - key * self.rows, self.times[a:b]
+
+
+def _runs(row: np.ndarray, code: np.ndarray, wanted: set[tuple[int, ...]], words: int) -> list[tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]]:
+    """(runs of codes, which of them was met, in which row) of each length, for wanted runs and their beginnings; codes stand
+    in order, -1 for other words."""
+    out = []
+    at, number, before = np.flatnonzero(code >= 0), code[code >= 0], [(c,) for c in range(words)]
+    for n in (2, 3, 4):
+        runs = sorted({w[:n] for w in wanted if len(w) >= n})
+        if not runs or not len(at):
+            break
+        place = {w: i for i, w in enumerate(before)}
+        key = np.array([place[w[:-1]] * words + w[-1] for w in runs])
+        order = np.argsort(key)
+        runs, key = [runs[i] for i in order], key[order]
+        good = at + n - 1 < len(code)
+        at, number = at[good], number[good]
+        good = (row[at + n - 1] == row[at]) & (code[at + n - 1] >= 0)
+        at, number = at[good], number[good]
+        if not len(at):
+            break
+        k = number * words + code[at + n - 1]
+        found = np.minimum(np.searchsorted(key, k), len(key) - 1)
+        good = key[found] == k
+        at, number, before = at[good], found[good], runs
+        out.append((runs, number, row[at]))
+    return out
+
+
+def gated_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(question_id, chunk_id, page_number, score, matched, passed_by, unmatched, phrases): of each block a question's ``k``
+    best that pass the gate of ``retrieval.gated``.
+
+    ``questions``: (question_id, scope, tokens, sections, chapters); ``chunks``: (scope, chunk_id, page_number,
+    section_number, nt, ni, nc); terms and numbers stand in strings between blanks.
+    """
+    split = lambda *c: F.filter(F.split(F.concat_ws(" ", *c), " "), lambda w: w != "")
+    spread = lambda *c: F.flatten(F.transform(split(*c), tx.variants))
+    q, c = _in_blocks(questions, chunks, F.array_distinct(spread("nt", "ni", "nc")), F.greatest(F.lit(1), F.size(spread("nt"))))
+    kind = questions.schema["question_id"].dataType.simpleString()
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = left.filter(pc.is_valid(left["question_id"]))
+        out: list[list] = [[] for _ in range(7)]
+        if asked.num_rows and right.num_rows:
+            large = _large(left.filter(pc.is_null(left["question_id"])))
+            asked, right = _by_scope(asked), _by_scope(right, "page_number", "chunk_id")
+            own = [t.split() for t in _array(asked, "tokens").to_pylist()]
+            names = sorted({t for tokens in own for t in tokens})
+            spread_of = {t: variants(t) for t in names}
+            terms = sorted({v for vs in spread_of.values() for v in vs})
+            number = {t: i for i, t in enumerate(terms)}
+            rows = right.num_rows
+            known = pa.array(names, pa.string())
+            code_of = {t: i for i, t in enumerate(names)}
+            phrases = [phrases_of(tokens) for tokens in own]
+            wanted = {tuple(code_of[t] for t in g) for gs in phrases for g in gs}
+            met, length, holders = {}, None, {}
+            for field in ("nt", "ni", "nc"):
+                row, word = _words(_array(right, field))
+                coded = pc.dictionary_encode(word)
+                vocabulary, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+                more = [variants(w) for w in vocabulary]
+                if field == "nt":
+                    length = np.bincount(row, weights=np.array([len(m) for m in more], dtype=float)[at], minlength=rows) if len(row) else np.zeros(rows)
+                keys, of = [], []
+                first = np.array([[number.get(v, -1) for v in (m + [""] * 3)[:3]] for m in more], dtype=np.int64).reshape(-1, 3)
+                for j in range(3):
+                    v = first[at, j]
+                    keys.append(v[v >= 0])
+                    of.append(row[v >= 0])
+                met[field] = _Met(np.concatenate(keys), np.concatenate(of), rows)
+                for runs, which, there in _runs(row, _codes(word, known), wanted, len(names)):
+                    pair = np.unique(which * rows + there)
+                    ends = np.searchsorted(pair, np.arange(len(runs) + 1) * rows)
+                    for i in np.flatnonzero(np.diff(ends)):
+                        if runs[i] in wanted:
+                            holders.setdefault(runs[i], []).append(pair[ends[i] : ends[i + 1]] - i * rows)
+            holders = {g: np.unique(np.concatenate(r)) for g, r in holders.items()}
+            section = _array(right, "section_number").to_numpy(zero_copy_only=False)
+            lists = {f: [[int(x) for x in t.split()] for t in _array(asked, f).to_pylist()] for f in ("sections", "chapters")}
+            spans = _spans(_array(right, "scope"))
+            for scope, (q0, q1) in _spans(_array(asked, "scope")).items():
+                if scope not in spans:
+                    continue
+                c0, c1 = spans[scope]
+                here = sorted({number[v] for i in range(q0, q1) for t in own[i] for v in spread_of[t]})
+                place = {terms[v]: i for i, v in enumerate(here)}
+                df = np.zeros(len(here))
+                of_term = []
+                for i, v in enumerate(here):
+                    parts = [met[f].of(v, c0, c1) for f in ("nt", "ni", "nc")]
+                    every = np.unique(np.concatenate([p[0] for p in parts]))
+                    df[i] = len(every)
+                    of_term.append((parts, every))
+                full = np.maximum(1.0, length[c0:c1])
+                n, mean = c1 - c0, full.mean()
+                if scope in large:
+                    n, mean, df = large[scope][0], large[scope][1] / large[scope][0], _count_of(large[scope], pa.array([terms[v] for v in here], pa.string()))
+                idf = np.where(df > 0, np.maximum(0.1, _idf(n, df)), 0.1)
+                width = max(256, CELLS // max(1, len(here)))
+                for lo in range(c0, c1, width):
+                    hi = min(c1, lo + width)
+                    norm = K1 * (1 - B + B * np.maximum(1.0, length[lo:hi]) / max(1.0, mean))
+                    m = np.zeros((len(here), hi - lo))
+                    for i, (parts, every) in enumerate(of_term):
+                        for (at, times), fixed in zip(parts, (None, 2.5, 2.0)):
+                            a, b = np.searchsorted(at, [lo, hi])
+                            x = at[a:b] - lo
+                            m[i, x] += idf[i] * (times[a:b] * (K1 + 1) / (times[a:b] + norm[x]) if fixed is None else fixed)
+                    tokens_here = sorted({t for i in range(q0, q1) for t in own[i]})
+                    hit_row = {t: i for i, t in enumerate(tokens_here)}
+                    hit = np.array([m[[place[v] for v in spread_of[t]]].max(axis=0) > 0 for t in tokens_here], dtype=np.uint8).reshape(len(tokens_here), hi - lo)
+                    sec = section[lo:hi]
+                    for i in range(q0, q1):
+                        tokens = own[i]
+                        if not tokens:
+                            continue
+                        matched = hit[[hit_row[t] for t in tokens]].sum(axis=0, dtype=np.int64)
+                        score = m[sorted({place[v] for t in tokens for v in spread_of[t]})].sum(axis=0)
+                        found = np.zeros(hi - lo, dtype=bool)
+                        with_phrase = []
+                        for g in phrases[i]:
+                            at = holders.get(tuple(code_of[t] for t in g))
+                            if at is None:
+                                continue
+                            a, b = np.searchsorted(at, [lo, hi])
+                            if a < b:
+                                score[at[a:b] - lo] += 3.0 * sum(idf[place[t]] for t in g)
+                                found[at[a:b] - lo] = True
+                                with_phrase.append((g, at[a:b]))
+                        good = (matched > 0) & (found | (matched >= 2) | (score >= (threshold if len(tokens) == 1 else max(2.5 * threshold, 2.5))))
+                        by = {f: (sec > 0) & np.isin(sec, lists[f][i]) for f in lists if lists[f][i]}
+                        for f, more in (("sections", 10.0), ("chapters", 8.0)):
+                            if f in by:
+                                score = score + np.where(by[f], more, 0.0)
+                                good |= by[f]
+                        at = np.flatnonzero(good & (score >= threshold))
+                        if not len(at):
+                            continue
+                        for j in at[best(score[None, at], k)[1]]:
+                            has = [t for t in tokens if hit[hit_row[t], j]]
+                            with_it = {" ".join(g) for g, r in with_phrase if (p := np.searchsorted(r, lo + j)) < len(r) and r[p] == lo + j}
+                            why = [x for x, y in (("phrase boost", with_it), ("requested section number", "sections" in by and by["sections"][j]), ("requested chapter mapped to section", "chapters" in by and by["chapters"][j])) if y]
+                            row = (i, lo + j, score[j], " ".join(has), ", ".join(why) or "bm25 score", " ".join(t for t in dict.fromkeys(tokens) if t not in has), "; ".join(sorted(with_it)))
+                            for values, v in zip(out, row):
+                                values.append(v)
+        of, at = pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())
+        more = {x: pa.array(v, pa.string()) for x, v in zip(("matched", "passed_by", "unmatched", "phrases"), out[3:])}
+        return pa.table({"question_id": asked["question_id"].take(of), "chunk_id": right["chunk_id"].take(at), "page_number": right["page_number"].take(at), "score": pa.array(out[2], pa.float64()), **more})
+
+    return q.groupBy("block").cogroup(c.groupBy("block")).applyInArrow(rank, f"question_id {kind}, chunk_id string, page_number int, score double, matched string, passed_by string, unmatched string, phrases string")

@@ -2,9 +2,8 @@
 
 Questions and chunks carry a scope (the document asked about); a question is ranked against the chunks of its scope, and
 term statistics are those of the scope. Chunks are (scope, chunk_id, page_number, text), questions (question_id, scope,
-question). Everything is a join on terms, so only chunks with a question's term are touched. Postings are spread over
-``PARTS`` hashed parts of each scope, with the questions' few terms in every part: a scope with a third of all chunks is
-not one task. Ties go to the earlier page, then the smaller chunk_id. Null texts and questions count as empty.
+question). Pairs of questions and chunks are scored in blocks (``ranking``); the words of ``important_words`` meet in a join
+over ``PARTS`` hashed parts of each scope, with the questions' few terms in every part. Ties go to the earlier page, then the smaller chunk_id. Null texts and questions count as empty.
 """
 
 from __future__ import annotations
@@ -16,9 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
 from leafmill.operators import ranking
-from leafmill.sources.tables import settle
 
-K1, B = 1.5, 0.75
 PARTS = 8
 #: Chunks of one scope that are numbered by one sort, about.
 NUMBERED_AT_ONCE = 5_000
@@ -94,56 +91,19 @@ def gated(questions: DataFrame, chunks: DataFrame, k: int = 5, least_score: floa
     has, 10 for being the section asked for and 8 for the chapter. It needs ``least_score`` and evidence: the number
     asked for, or a phrase, or two matched tokens, or else 2.5 times as much score, unless the question has one token.
 
-    The chunks' terms are found once and kept as a table with a column for each use; of the postings only those of terms
-    that the scope's questions have are made. ``diagnostics`` adds unmatched and ignored terms, phrases met and threshold.
+    Pairs are scored and gated in blocks where the chunks lie. ``diagnostics`` adds unmatched and ignored terms, phrases met
+    and threshold.
     """
     threshold = max(1.0, float(least_score))
-    spread = lambda c: F.flatten(F.transform(tx.terms(c), tx.variants))
-    concept_text = F.array_join(F.coalesce("key_concepts", F.array().cast("array<string>")), " ")
-    c = chunks.select("scope", "chunk_id", "page_number", F.coalesce("section_number", F.lit(0)).alias("section_number"), spread("text").alias("tt"), spread("section_title").alias("ti"), spread(concept_text).alias("co"), *[F.concat(F.lit(" "), F.array_join(tx.terms(x), " "), F.lit(" ")).alias(n) for x, n in (("text", "nt"), ("section_title", "ni"), (concept_text, "nc"))])
-    c = settle(c.withColumn("len", F.size("tt")))
-    q = settle(query_terms(questions))
-    per_token = q.select("question_id", "scope", F.posexplode("tokens").alias("pos", "token")).withColumn("term", F.explode(tx.variants(F.col("token"))))
-    words_asked = per_token.select("scope", "term").unionByName(q.select("scope", F.explode("tokens").alias("term"))).distinct()
-    stats = c.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(1), F.col("len"))).alias("avgdl"))
-
-    def tagged_as(terms: str, field: str) -> Column:
-        return F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(field).alias("f")))
-
-    tagged = F.concat(tagged_as("tt", "t"), tagged_as("ti", "i"), tagged_as("co", "c"))
-    post = c.select("scope", "chunk_id", "page_number", "len", F.explode(tagged).alias("x")).withColumn("term", F.col("x.term")).join(words_asked, ["scope", "term"], "left_semi").groupBy("scope", "chunk_id", "page_number", "len", "term").agg(F.count_if(F.col("x.f") == "t").alias("t"), F.count_if(F.col("x.f") == "i").alias("i"), F.count_if(F.col("x.f") == "c").alias("c"))
-    post = settle(post)
-    df = post.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(0.1), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    refs = questions.select("question_id", tx.numbered_references("question", ["section", "sections"], ["חלק"]).alias("sections"), tx.numbered_references("question", ["chapter", "chapters", "ch"], ["פרק", "פרקים"]).alias("chapters"))
-    asked = per_token.groupBy("question_id", "scope", "term").agg(F.collect_set("pos").alias("at"))
-    asked = _in_parts(asked.join(df.join(stats, "scope").select("scope", "term", idf.alias("idf"), "avgdl"), ["scope", "term"]))
-    hit = post.withColumn("part", _part()).join(asked, ["scope", "part", "term"])
-    norm = K1 * (1 - B + B * F.greatest(F.lit(1), F.col("len")) / F.greatest(F.lit(1.0), F.col("avgdl")))
-    one = F.col("idf") * (F.col("t") * (K1 + 1) / (F.col("t") + norm) + F.when(F.col("i") > 0, 2.5).otherwise(0.0) + F.when(F.col("c") > 0, 2.0).otherwise(0.0))
-    base = hit.groupBy("question_id", "scope", "chunk_id", "page_number").agg(F.sum(one).alias("base"), F.flatten(F.collect_list("at")).alias("at"))
-    # chunks of the section or chapter asked for need no common term
-    numbered = refs.join(questions.select("question_id", "scope"), "question_id").where((F.size("sections") + F.size("chapters") > 0)).select("question_id", "scope", F.explode(F.array_distinct(F.concat("sections", "chapters"))).alias("section_number"))
-    by_number = numbered.join(c.select("scope", "chunk_id", "page_number", "section_number"), ["scope", "section_number"]).join(q.where(F.size("tokens") > 0).select("question_id"), "question_id")
-    all_hits = base.unionByName(by_number.select("question_id", "scope", "chunk_id", "page_number", F.lit(0.0).alias("base"), F.array().cast("array<int>").alias("at"))).groupBy("question_id", "scope", "chunk_id", "page_number").agg(F.sum("base").alias("base"), F.flatten(F.collect_list("at")).alias("at"))
-    # phrases: only where their terms are met anyway
-    idf_of = df.join(stats, "scope").select("scope", "term", idf.alias("idf"))
-    words = q.select("question_id", "scope", F.explode(F.array_distinct("tokens")).alias("term")).join(idf_of, ["scope", "term"], "left").groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("idf", F.lit(0.1)).alias("idf")))).alias("idfs"))
-    x = all_hits.join(q, ["question_id", "scope"]).join(refs, "question_id").join(words, "question_id", "left").join(c.select("scope", "chunk_id", "section_number", "nt", "ni", "nc"), ["scope", "chunk_id"])
-    with_phrases = F.filter("phrases", lambda p: F.col("nt").contains(F.concat(F.lit(" "), p, F.lit(" "))) | F.col("ni").contains(F.concat(F.lit(" "), p, F.lit(" "))) | F.col("nc").contains(F.concat(F.lit(" "), p, F.lit(" "))))
-    x = x.withColumn("found", with_phrases)
-    phrase_words = F.flatten(F.transform("found", lambda p: F.split(p, " ")))
-    bonus = F.aggregate(phrase_words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at("idfs", w), F.lit(0.1))) * 3.0
-    by_section = (F.col("section_number") > 0) & F.array_contains("sections", F.col("section_number"))
-    by_chapter = (F.col("section_number") > 0) & F.array_contains("chapters", F.col("section_number"))
-    x = x.withColumn("score", F.col("base") + bonus + F.when(by_section, 10.0).otherwise(0.0) + F.when(by_chapter, 8.0).otherwise(0.0))
-    matched = F.filter(F.transform("tokens", lambda t, i: F.when(F.array_contains("at", i) | F.array_contains(phrase_words, t), t)), lambda t: t.isNotNull())
-    x = x.withColumn("matched", matched)
-    enough = by_section | by_chapter | ((F.size("matched") > 0) & ((F.size("found") > 0) | (F.size("matched") >= 2) | F.when(F.size("tokens") == 1, F.col("score") >= threshold).otherwise(F.col("score") >= max(2.5 * threshold, 2.5))))
-    passed = F.array_compact(F.array(F.when(F.size("found") > 0, "phrase boost"), F.when(by_section, "requested section number"), F.when(by_chapter, "requested chapter mapped to section")))
-    x = x.where((F.col("score") >= threshold) & enough).withColumn("passed_by", F.when(F.size(passed) > 0, F.array_join(passed, ", ")).otherwise("bm25 score"))
-    more = [F.array_join(F.array_except("tokens", "matched"), " ").alias("unmatched"), F.array_join("ignored", " ").alias("ignored"), F.array_join(F.array_sort(F.array_distinct("found")), "; ").alias("phrases"), F.lit(threshold).alias("threshold")] if diagnostics else []
-    return top(x, k, *_order()).select("question_id", "chunk_id", "page_number", F.round("score", 4).alias("score"), F.array_join("matched", " ").alias("matched"), "passed_by", "rank", *more)
+    joined = lambda x: F.array_join(x, " ")
+    c = chunks.select("scope", "chunk_id", "page_number", F.coalesce("section_number", F.lit(0)).alias("section_number"), *[joined(tx.terms(x)).alias(n) for x, n in (("text", "nt"), ("section_title", "ni"), (F.array_join(F.coalesce("key_concepts", F.array().cast("array<string>")), " "), "nc"))])
+    q = query_terms(questions).select("question_id", "scope", joined("tokens").alias("tokens"))
+    refs = questions.select("question_id", joined(tx.numbered_references("question", ["section", "sections"], ["חלק"]).cast("array<string>")).alias("sections"), joined(tx.numbered_references("question", ["chapter", "chapters", "ch"], ["פרק", "פרקים"]).cast("array<string>")).alias("chapters"))
+    x = top(ranking.gated_of_blocks(q.join(refs, "question_id"), c, k, threshold), k, *_order())
+    if diagnostics:
+        x = x.join(query_terms(questions).select("question_id", joined("ignored").alias("ignored")), "question_id")
+    more = ["unmatched", "ignored", "phrases", F.lit(threshold).alias("threshold")] if diagnostics else []
+    return x.select("question_id", "chunk_id", "page_number", F.round("score", 4).alias("score"), "matched", "passed_by", "rank", *more)
 
 
 def minmax(df: DataFrame, by: str = "question_id", score: str = "score", to: str = "norm") -> DataFrame:

@@ -107,3 +107,18 @@ def test_depths_are_evaluations_of_the_first(spark):
     rows = evaluate.evaluate_depths(questions, found, chunks, [1, 2, 3])
     for k in (1, 2, 3):
         assert sorted(map(tuple, rows.where(f"depth = {k}").drop("depth").collect())) == sorted(map(tuple, evaluate.evaluate(questions, found.where(f"rank <= {k}"), chunks).collect()))
+
+
+def test_gated_moves_no_pairs_and_large_scopes_score_alike(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    _, _, questions, chunks = made(spark, n=120, m=100)
+    questions = questions.withColumn("question", F.concat("question", F.lit(" stack queue section 2")))
+    chunks = chunks.withColumn("section_number", F.col("page_number") % 4).withColumn("section_title", F.lit("Nodes")).withColumn("key_concepts", F.array(F.lit("root")))
+    run = lambda: sorted(map(tuple, retrieval.gated(questions, chunks, diagnostics=True).collect()))
+    before = shuffled(spark)
+    whole = run()
+    assert shuffled(spark) - before < 120 * 100 / 4 and len(whole) > 400
+    monkeypatch.setattr(ranking, "BLOCK", 20)
+    monkeypatch.setattr(ranking, "CELLS", 500)
+    assert run() == whole
