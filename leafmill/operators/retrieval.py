@@ -201,6 +201,8 @@ def metadata_filter(df: DataFrame, wanted: dict, equality_only: bool = False) ->
 
 #: Chunks of one scope that are ranked by vectors at once.
 SCOPE_BLOCK = 5_000
+#: Questions of a block that are multiplied at once.
+QUESTIONS_AT_ONCE = 1_000
 
 
 def semantic(questions: DataFrame, chunks: DataFrame, k: int = 3, dim: int = 128) -> DataFrame:
@@ -211,24 +213,30 @@ def semantic(questions: DataFrame, chunks: DataFrame, k: int = 3, dim: int = 128
     import numpy as np
     import pandas as pd
 
-    from leafmill.operators.vectors import mock_slots
+    from leafmill.operators.vectors import mock_vector
 
-    size = chunks.groupBy("scope").agg(F.ceil(F.count("*") / F.lit(SCOPE_BLOCK)).cast("int").alias("blocks"))
-    keyed = chunks.select("scope", "chunk_id", "page_number", F.struct("scope", "chunk_id", "page_number").alias("k"), "text")
-    c = mock_slots(keyed.select("k", "text").withColumn("k", F.to_json("k")), "k", "text", dim).select(F.from_json("k", "scope string, chunk_id string, page_number int").alias("k"), "vector").select("k.*", "vector")
-    c = c.join(size, "scope").withColumn("block", F.pmod(F.xxhash64("chunk_id"), "blocks"))
-    q = mock_slots(questions.where(F.trim("question") != ""), "question_id", "question", dim).join(questions.select("question_id", "scope"), "question_id").join(size, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    n = chunks.groupBy("scope").agg(F.count("*").alias("n"))
+    large = F.broadcast(n.where(F.col("n") > SCOPE_BLOCK).select("scope", F.ceil(F.col("n") / F.lit(SCOPE_BLOCK)).alias("blocks")))  # at most one row for each SCOPE_BLOCK chunks
+    blocks = F.coalesce("blocks", F.lit(1).cast("bigint"))
+    # texts are moved and not vectors, which are several times as large
+    c = chunks.where("scope is not null").join(large, "scope", "left").select("scope", "chunk_id", "page_number", "text", F.pmod(F.xxhash64("chunk_id"), blocks).alias("block"))
+    q = questions.where((F.trim("question") != "") & F.col("scope").isNotNull()).join(large, "scope", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    embed = lambda texts: np.stack([mock_vector(t if isinstance(t, str) else "", dim) for t in texts])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"question_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype=object), "page_number": pd.Series(dtype="int32"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
             return empty
         right = right.sort_values(["page_number", "chunk_id"])
-        s = np.round(np.stack(left["vector"]) @ np.stack(right["vector"]).T, 12)
-        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"question_id": np.repeat(left["question_id"].to_numpy(), at.shape[1]), "chunk_id": right["chunk_id"].to_numpy()[at.ravel()], "page_number": right["page_number"].to_numpy()[at.ravel()], "score": np.take_along_axis(s, at, axis=1).ravel()})
-
-    found = q.select("scope", "block", "question_id", "vector").groupBy("scope", "block").cogroup(c.select("scope", "block", "chunk_id", "page_number", "vector").groupBy("scope", "block")).applyInPandas(rank, "question_id bigint, chunk_id string, page_number int, score double")
+        own, parts = embed(right["text"]), [empty]
+        for i in range(0, len(left), QUESTIONS_AT_ONCE):
+            asked = left.iloc[i : i + QUESTIONS_AT_ONCE]
+            s = np.round(embed(asked["question"]) @ own.T, 12)
+            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            parts.append(pd.DataFrame({"question_id": np.repeat(asked["question_id"].to_numpy(), at.shape[1]), "chunk_id": right["chunk_id"].to_numpy()[at.ravel()], "page_number": right["page_number"].to_numpy()[at.ravel()], "score": np.take_along_axis(s, at, axis=1).ravel()}))
+        return pd.concat(parts[1:])
+
+    found = q.select("scope", "block", "question_id", "question").groupBy("scope", "block").cogroup(c.groupBy("scope", "block")).applyInPandas(rank, "question_id bigint, chunk_id string, page_number int, score double")
     return top(found, k, *_order())
 
 
