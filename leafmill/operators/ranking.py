@@ -114,13 +114,41 @@ def _idf(n: float, df: np.ndarray) -> np.ndarray:
     return np.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def top_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, bm25: bool, padded: bool = False) -> DataFrame:
+def _covers(q_key: np.ndarray, words: int, c_key: np.ndarray, same: tuple[np.ndarray, np.ndarray, np.ndarray], asked: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, counts): for each pair of rows how many of the question's distinct words each row of the chunk's name has.
+
+    ``q_key``, ``c_key``: row * words + word, sorted, each once; ``same``: as of ``_names``.
+    """
+    rows, first, number = same
+    n = number[chunk]
+    pair = np.repeat(np.arange(len(chunk)), n)
+    ends = np.cumsum(n)
+    row = rows[first[chunk][pair] + np.arange(len(pair)) - (ends - n)[pair]]
+    a, b = np.searchsorted(q_key, asked * words), np.searchsorted(q_key, (asked + 1) * words)
+    m = (b - a)[pair]
+    at = np.repeat(np.arange(len(pair)), m)
+    key = row[at] * words + q_key[a[pair][at] + np.arange(len(at)) - (np.cumsum(m) - m)[at]] % words
+    has = c_key[np.minimum(np.searchsorted(c_key, key), len(c_key) - 1)] == key if len(c_key) else np.zeros(len(key), dtype=bool)
+    return ends, np.bincount(at[has], minlength=len(pair))
+
+
+def _names(scope: pa.Array, chunk_id: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by scope and chunk_id, and for each row the first place and the number of those of its name."""
+    both = pa.table({"s": scope, "c": chunk_id})
+    codes = [pc.fill_null(pc.dictionary_encode(both[x], null_encoding="encode").combine_chunks().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("s", "c")]
+    name = np.unique(codes[0] * (int(codes[1].max(initial=0)) + 2) + codes[1], return_inverse=True)[1]
+    number = np.bincount(name)
+    return np.argsort(name, kind="stable"), (np.cumsum(number) - number)[name], number[name]
+
+
+def top_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, bm25: bool, padded: bool = False, matched: bool = False) -> DataFrame:
     """(question_id, chunk_id, page_number, score): of each block a question's ``k`` best by BM25, or by the number of
     common words.
 
     ``questions``: (question_id, scope, words); ``chunks``: (scope, chunk_id, page_number, words); words stand in a string
     between blanks. Ties go to the earlier page, then the smaller chunk_id. Chunks without a common word are left out,
-    unless ``padded``: then they count with 0 for questions that have a word.
+    unless ``padded``: then they count with 0 for questions that have a word. ``matched`` adds how many of the question's
+    distinct words the chunk has: one number for each row with the chunk's scope and chunk_id, all of which are in one block.
     """
     q = questions.groupBy("question_id", "scope").agg(F.array_join(F.collect_list("words"), " ").alias("asked"))
     words = F.filter(F.split("words", " "), lambda w: w != "")
@@ -129,7 +157,7 @@ def top_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, bm25: bool, p
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = left.filter(pc.is_valid(left["question_id"]))
-        at_q, at_c, scores = [], [], []
+        at_q, at_c, scores, covers = [], [], [], []
         if asked.num_rows and right.num_rows:
             large = _large(left.filter(pc.is_null(left["question_id"])))
             asked = _by_scope(asked)
@@ -141,6 +169,8 @@ def top_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, bm25: bool, p
             length = np.bincount(c_row, minlength=right.num_rows)
             c_code = _codes(c_word, known)
             c_row, c_code = c_row[c_code >= 0], c_code[c_code >= 0]
+            if matched:
+                q_key, c_key, same = np.unique(q_row * len(known) + q_code), np.unique(c_row * len(known) + c_code), _names(_array(right, "scope"), _array(right, "chunk_id"))
             chunk_id, page = _array(right, "chunk_id").to_numpy(zero_copy_only=False), pc.fill_null(_array(right, "page_number"), -(1 << 31)).to_numpy()
             spans = _spans(_array(right, "scope"))
             for scope, (q0, q1) in _spans(_array(asked, "scope")).items():
@@ -151,11 +181,17 @@ def top_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, bm25: bool, p
                     at_q.append(qi)
                     at_c.append(ci)
                     scores.append(s)
+                    if matched:
+                        covers.append(_covers(q_key, len(known), c_key, same, qi, ci))
         none = np.empty(0, dtype=np.int64)
         of, at = pa.array(np.concatenate([none, *at_q])), pa.array(np.concatenate([none, *at_c]))
-        return pa.table({"question_id": asked["question_id"].take(of), "chunk_id": right["chunk_id"].take(at), "page_number": right["page_number"].take(at), "score": np.concatenate([np.empty(0), *scores])})
+        more = {}
+        if matched:
+            ends = np.cumsum(np.concatenate([[0], *[np.diff(e, prepend=0) for e, _ in covers]])).astype(np.int32)
+            more["matched"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([none, *[n for _, n in covers]]).astype(np.int32)))
+        return pa.table({"question_id": asked["question_id"].take(of), "chunk_id": right["chunk_id"].take(at), "page_number": right["page_number"].take(at), "score": np.concatenate([np.empty(0), *scores]), **more})
 
-    return q.groupBy("block").cogroup(c.groupBy("block")).applyInArrow(rank, f"question_id {kind}, chunk_id string, page_number int, score double")
+    return q.groupBy("block").cogroup(c.groupBy("block")).applyInArrow(rank, f"question_id {kind}, chunk_id string, page_number int, score double" + ", matched array<int>" * matched)
 
 
 def _scored(q_row, q_code, q0, q1, c_row, c_code, c0, c1, length, chunk_id, page, large, known, k, bm25, padded) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

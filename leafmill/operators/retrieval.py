@@ -38,11 +38,12 @@ def _in_parts(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = 3, padded: bool = False) -> DataFrame:
+def bm25(questions: DataFrame, chunks: DataFrame, k: int = 3, padded: bool = False, matched: bool = False) -> DataFrame:
     """(question_id, chunk_id, page_number, score, rank). ``padded``: chunks without a common term follow with 0, in
-    order, where fewer than ``k`` have one; questions without terms have no rows either way."""
+    order, where fewer than ``k`` have one; questions without terms have no rows either way. ``matched`` adds what
+    ``rerank`` needs of the texts, as ``ranking.top_of_blocks`` counts it."""
     words = lambda c: F.array_join(tx.plain_terms(c), " ").alias("words")
-    found = ranking.top_of_blocks(questions.select("question_id", "scope", words("question")), chunks.select("scope", "chunk_id", "page_number", words("text")), k, bm25=True, padded=padded)
+    found = ranking.top_of_blocks(questions.select("question_id", "scope", words("question")), chunks.select("scope", "chunk_id", "page_number", words("text")), k, bm25=True, padded=padded, matched=matched)
     return top(found, k, *_order())
 
 
@@ -123,7 +124,13 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int = 3, weight: float = 0.
 
 
 def rerank(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
-    """Candidates' scores plus the share of the question's distinct terms that the chunk has."""
+    """Candidates' scores plus the share of the question's distinct terms that the chunk has. Texts are joined only where
+    the candidates come without ``matched``."""
+    if "matched" in candidates.columns:
+        asked = questions.select("question_id", F.size(F.array_distinct(tx.plain_terms("question"))).alias("n"))
+        x = candidates.drop("rank").join(asked, "question_id").withColumn("m", F.explode("matched"))
+        x = x.withColumn("score", F.col("score") + F.when(F.col("n") == 0, 0.0).otherwise(F.col("m") / F.col("n")))
+        return top(x, k, *_order()).select("question_id", "chunk_id", "page_number", "score", "rank")
     q = questions.select("question_id", "scope", F.array_distinct(tx.plain_terms("question")).alias("qt"))
     x = candidates.drop("rank").join(q, "question_id").join(chunks.select("scope", "chunk_id", F.array_distinct(tx.plain_terms("text")).alias("ct")), ["scope", "chunk_id"])
     cover = F.when(F.size("qt") == 0, 0.0).otherwise(F.size(F.array_intersect("qt", "ct")) / F.size("qt"))

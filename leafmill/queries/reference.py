@@ -403,7 +403,7 @@ rr AS (SELECT question_id, chunk_id, b12.page_number, score + len(list_intersect
 SELECT question_id, chunk_id, page_number, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, page_number, chunk_id) AS rank FROM rr) WHERE rank <= 3""")
 def reranked_top3(spark: SparkSession, d: str) -> DataFrame:
     q, c = questions(spark, d), chunks(spark, d)
-    return retrieval.rerank(retrieval.bm25(q, c, 12, padded=True), q, c).withColumn("score", F.round("score", 6))
+    return retrieval.rerank(retrieval.bm25(q, c, 12, padded=True, matched=True), q, c).withColumn("score", F.round("score", 6))
 
 
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12)"

@@ -122,3 +122,16 @@ def test_gated_moves_no_pairs_and_large_scopes_score_alike(spark, monkeypatch):
     monkeypatch.setattr(ranking, "BLOCK", 20)
     monkeypatch.setattr(ranking, "CELLS", 500)
     assert run() == whole
+
+
+def test_rerank_moves_no_texts(spark, monkeypatch):
+    """What of the question's terms a chunk has comes with the ranking, for each row of a repeated chunk_id too."""
+    monkeypatch.setattr(ranking, "BLOCK", 50)
+    _, _, questions, chunks = made(spark, n=120, m=60)
+    more = [("a", "c003", 50, "all tree heap"), ("a", "c004", 51, "leaf"), ("b", "c003", 1, "tree heap stack")]
+    chunks = chunks.unionByName(spark.createDataFrame(more, chunks.schema))
+    own = retrieval.bm25(questions, chunks, 12, padded=True, matched=True)
+    rows = lambda x: sorted((r["question_id"], r["rank"], r["chunk_id"], r["page_number"], round(r["score"], 9)) for r in x.collect())
+    found = retrieval.rerank(own, questions, chunks)
+    assert rows(found) == rows(retrieval.rerank(own.drop("matched"), questions, chunks))
+    assert "text" not in found._jdf.queryExecution().optimizedPlan().toString()
