@@ -283,12 +283,14 @@ def bm25_zero_padded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with the section of their document's first session."""
-    first = sessions(spark, d).groupBy(F.col("filename").alias("scope")).agg(F.min("id").alias("session_id"))
-    s = sections(spark, d).join(first, "session_id").select("scope", "section_number", "title", "start_page", "end_page", "key_concepts")
-    c = assemble.page_sections(chunks(spark, d), s)
-    concepts = s.select("scope", "section_number", F.from_json("key_concepts", "array<string>").alias("key_concepts")).dropDuplicates(["scope", "section_number"])
-    return c.join(concepts, ["scope", "section_number"], "left")
+    """Chunks with the section of their document's first session. What a page has of its section is found without texts
+    and joined to them once."""
+    first = table(spark, d, "study_sessions").groupBy(F.col("filename").alias("scope")).agg(F.min("id").alias("session_id"))
+    s = table(spark, d, "study_sections").select("session_id", "section_number", "title", "start_page", "end_page", "key_concepts").distinct().join(first, "session_id").drop("session_id")
+    own = assemble.page_sections(table(spark, d, "doc_chunks").select(F.col("source_id").alias("scope"), "page_number").distinct(), s)
+    concepts = s.groupBy("scope", "section_number").agg(F.min("key_concepts").alias("key_concepts"))
+    own = own.join(concepts, ["scope", "section_number"], "left").select(F.col("scope").alias("_s"), F.col("page_number").alias("_p"), "section_number", "section_title", F.from_json("key_concepts", "array<string>").alias("key_concepts"))
+    return chunks(spark, d).join(own, F.col("scope").eqNullSafe(F.col("_s")) & F.col("page_number").eqNullSafe(F.col("_p"))).drop("_s", "_p")
 
 
 _NUMBER = "(?:\\d{1,2}|" + "|".join(_NUMBERS) + ")"

@@ -135,3 +135,18 @@ def test_rerank_moves_no_texts(spark, monkeypatch):
     found = retrieval.rerank(own, questions, chunks)
     assert rows(found) == rows(retrieval.rerank(own.drop("matched"), questions, chunks))
     assert "text" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def scans(df):
+    """Columns read from each table, as the plan has them."""
+    import re
+
+    return re.findall(r"FileScan parquet \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_sections_of_chunks_leave_the_sections_texts(spark):
+    from leafmill.queries import reference
+
+    read = scans(reference._titled(spark, "/root/testdata/sf0.001"))
+    assert read and not any("section_text" in r for r in read)
+    assert sum("text#" in r for r in read) == 1
