@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
 from leafmill.operators import ranking
+from leafmill.sources.tables import settle
 
 PARTS = 8
 #: Chunks of one scope that are numbered by one sort, about.
@@ -271,6 +272,7 @@ def important_words(questions: DataFrame, chunks: DataFrame, k: int = 3) -> Data
 def backfilled(ranked: DataFrame, questions: DataFrame, chunks: DataFrame, k: int = 5, enough: int = 3) -> DataFrame:
     """(question_id, chunk_id, page_number, rank): where one or two chunks were found, the first chunk of each further
     page follows up to ``k``; questions with none or with ``enough`` stay as they are."""
+    ranked = settle(ranked.select("question_id", "chunk_id", "page_number", "rank"))  # it is read three times
     n = ranked.groupBy("question_id").agg(F.count("*").alias("n")).where(F.col("n") < enough)
     first = chunks.withColumn("r", F.row_number().over(Window.partitionBy("scope", "page_number").orderBy("chunk_id"))).where("r = 1")
     first = top(first.select("scope", "chunk_id", "page_number"), k + enough, F.asc("page_number"), by="scope").drop("rank")

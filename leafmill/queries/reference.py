@@ -293,6 +293,11 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).join(own, F.col("scope").eqNullSafe(F.col("_s")) & F.col("page_number").eqNullSafe(F.col("_p"))).drop("_s", "_p")
 
 
+def _chunk_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks without their texts."""
+    return table(spark, d, "doc_chunks").select(F.col("source_id").alias("scope"), "chunk_id", "page_number").distinct()
+
+
 _NUMBER = "(?:\\d{1,2}|" + "|".join(_NUMBERS) + ")"
 
 
@@ -685,8 +690,8 @@ mo AS (SELECT fe.question_id, fi.chunk_id, fi.page_number FROM fe JOIN q USING (
 bo AS (SELECT question_id, chunk_id, page_number, rank AS was FROM g5 UNION ALL SELECT question_id, chunk_id, page_number, 1048576 FROM mo)
 SELECT question_id, chunk_id, page_number, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY was, page_number, chunk_id) AS rank FROM bo) WHERE rank <= 5""")
 def backfilled_top5(spark: SparkSession, d: str) -> DataFrame:
-    q, c = questions(spark, d), _titled(spark, d)
-    return retrieval.backfilled(retrieval.gated(q, c), q, c)
+    q = questions(spark, d)
+    return retrieval.backfilled(retrieval.gated(q, _titled(spark, d)), q, _chunk_keys(spark, d))
 
 
 @query()
