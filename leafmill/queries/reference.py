@@ -542,7 +542,7 @@ def exam_contexts(spark: SparkSession, d: str) -> DataFrame:
 SELECT question_id, string_agg(label, '; ' ORDER BY rank) AS labels FROM lb GROUP BY question_id""")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     q, c = questions(spark, d), chunks(spark, d)
-    x = retrieval.bm25(q, c, 5).join(c.select("chunk_id", "scope"), "chunk_id").withColumn("label", assemble.citation_label(F.col("scope"), F.create_map().cast("map<string,string>"), F.col("page_number")))
+    x = retrieval.bm25(q, c, 5).join(_chunk_keys(spark, d).select("chunk_id", "scope").distinct(), "chunk_id").withColumn("label", assemble.citation_label(F.col("scope"), F.create_map().cast("map<string,string>"), F.col("page_number")))
     return evaluate.ordered_distinct(x, "question_id", "label", "rank", "labels").withColumn("labels", F.array_join("labels", "; "))
 
 

@@ -158,3 +158,9 @@ def test_backfilled_ranks_once_and_reads_texts_for_it_only(spark):
     df = __spark_entry__.queries()["backfilled_top5"](spark, "/root/testdata/sf0.001")
     assert "FlatMapCoGroups" not in df._jdf.queryExecution().executedPlan().toString()
     assert not any("text" in r for r in scans(df))
+
+
+def test_citations_read_texts_for_the_ranking_only(spark):
+    import __spark_entry__
+
+    assert not any("text" in r for r in scans(__spark_entry__.queries()["citations"](spark, "/root/testdata/sf0.001")))
