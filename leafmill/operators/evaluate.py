@@ -123,13 +123,15 @@ def last_messages(messages: DataFrame, by: str, order: str, n: int = 12) -> Data
 def composed_answers(questions: DataFrame, ranked: DataFrame, chunks: DataFrame, most: int = 500) -> DataFrame:
     """(question_id, answer): the three distinct sentences of the ranked chunks with most of the question's keywords, the
     shorter first among equals; without any, the first two chunks; cut at a word to ``most`` characters."""
-    x = ranked.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("question_id", keywords("question").alias("kw")), "question_id")
-    s = x.select("question_id", "kw", "rank", F.posexplode(F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda t: t != "")).alias("no", "s"))
-    words = F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
-    s = s.withColumn("overlap", F.size(F.filter("kw", lambda k: F.array_contains(words, k)))).where("overlap > 0")
-    one = s.groupBy("question_id", "s").agg(F.max("overlap").alias("overlap"), F.min(F.struct("rank", "no")).alias("at"))
-    order = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("overlap"), F.length("s"), "at"))
-    best = one.withColumn("r", order).where("r <= 3").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda t: t["s"]).alias("a"))
-    first = x.where("rank <= 2 and text <> ''").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda t: t["text"]).alias("f"))
-    full = first.join(best, "question_id", "left").select("question_id", tx.clean(F.array_join(F.coalesce("a", "f"), " ")).alias("t"))
+    texts = ranked.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("r"))
+    x = texts.join(questions.groupBy("question_id").agg(F.collect_list(keywords("question")).alias("kw")), "question_id")
+    sentences = lambda t: F.filter(F.transform(F.split(F.coalesce(t["text"], F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda v: v != "")
+    words = lambda v: F.regexp_extract_all(F.lower(v), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
+    with_words = F.flatten(F.transform("r", lambda t: F.transform(sentences(t), lambda v, no: F.struct(t["rank"].alias("rank"), no.alias("no"), v.alias("s"), words(v).alias("w")))))
+    overlap = lambda v: F.array_max(F.transform("kw", lambda kw: F.size(F.filter(kw, lambda k: F.array_contains(v["w"], k)))))
+    counted = F.filter(F.transform(with_words, lambda v: F.struct((-overlap(v)).alias("o"), F.length(v["s"]).alias("n"), v["rank"].alias("rank"), v["no"].alias("no"), v["s"].alias("s"))), lambda v: v["o"] < 0)
+    best = F.slice(F.array_distinct(F.transform(F.array_sort(counted), lambda v: v["s"])), 1, 3)
+    first = F.transform(F.filter("r", lambda t: (t["rank"] <= 2) & (F.coalesce(t["text"], F.lit("")) != "")), lambda t: t["text"])
+    x = x.select("question_id", best.alias("a"), first.alias("f")).where(F.size("f") > 0)
+    full = x.select("question_id", tx.clean(F.array_join(F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("f")), " ")).alias("t"))
     return full.select("question_id", F.when(F.length("t") > most, F.concat(F.regexp_replace(F.substring("t", 1, most - 3), r" [^ ]*$", ""), F.lit("..."))).otherwise(F.col("t")).alias("answer"))

@@ -164,3 +164,14 @@ def test_citations_read_texts_for_the_ranking_only(spark):
     import __spark_entry__
 
     assert not any("text" in r for r in scans(__spark_entry__.queries()["citations"](spark, "/root/testdata/sf0.001")))
+
+
+def test_composed_answers_rank_once_and_move_no_sentences(spark):
+    from leafmill.operators import evaluate
+
+    chunks = spark.createDataFrame([("c1", "A tree has roots. The heap is a tree of nodes. A heap."), ("c2", "A heap. Nodes of the heap and the tree!"), ("c3", None), ("c4", "Nothing here.")], "chunk_id string, text string")
+    questions = spark.createDataFrame([(1, "What is a heap tree?"), (2, "Which queue?"), (3, "heap")], "question_id bigint, question string")
+    ranked = spark.createDataFrame([(1, "c1", 1), (1, "c2", 2), (1, "c3", 3), (2, "c4", 1), (2, "c3", 2), (3, "c3", 1)], "question_id bigint, chunk_id string, rank int")
+    found = evaluate.composed_answers(questions, ranked, chunks)
+    assert {r[0]: r[1] for r in found.collect()} == {1: "The heap is a tree of nodes. Nodes of the heap and the tree! A heap.", 2: "Nothing here."}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
