@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as tx
 
 
-def budgeted(blocks: DataFrame, by: str, order: list[str], block: str, most: int) -> DataFrame:
+def budgeted(blocks: DataFrame, by: str | list[str], order: list[str], block: str, most: int) -> DataFrame:
     """(``by``, context): the blocks of each group in order, as many as the budget holds; empty and null ones left out.
 
     A whole block uses its length and two more. As only the last block kept is ever cut, sums over whole blocks say

@@ -29,18 +29,26 @@ BLOCK = 5_000
 CELLS = 4_000_000
 
 
-def _in_blocks(questions: DataFrame, chunks: DataFrame, words: Column, length: Column) -> tuple[DataFrame, DataFrame]:
+def _in_blocks(questions: DataFrame, chunks: DataFrame, words: Column, length: Column, made: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with their ``block``. Large scopes have one more row among the questions, without a question_id: their
-    ``n`` chunks, the ``total`` of the chunks' ``length``, and in how many chunks each of the ``words`` is."""
-    chunks = settle(chunks.where("scope is not null"))
+    ``n`` chunks, the ``total`` of the chunks' ``length``, and in how many chunks each of the ``words`` is.
+
+    ``made``: what is made of the chunks' ``text``, each time it is read; such chunks may have copies, and are not settled."""
+    chunks = chunks.where("scope is not null")
+    if made is None:
+        chunks = settle(chunks)
+    make = lambda df: df if made is None else df.select(*[x for x in df.columns if x != "text"], *made)
     buckets = max(1, -(-chunks.count() // BLOCK))
     size = chunks.groupBy("scope").agg(F.count("*").alias("_n"))
     large = F.broadcast(size.where(F.col("_n") > BLOCK).select("scope", F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int").alias("_parts")))  # at most one row for each BLOCK chunks
     in_bucket, in_part = F.pmod(F.xxhash64("scope"), F.lit(buckets)), lambda part: F.xxhash64("scope", part)
-    c = chunks.join(large, "scope", "left").withColumn("block", F.when(F.col("_parts").isNull(), in_bucket).otherwise(in_part(F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int")))).drop("_parts")
+    c = make(chunks.join(large, "scope", "left").withColumn("block", F.when(F.col("_parts").isNull(), in_bucket).otherwise(in_part(F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int")))).drop("_parts"))
 
+    own = make(chunks.join(large, "scope"))
+    if made is not None:
+        own = own.repartition("scope", "chunk_id").distinct()
     # copies of a chunk with the same length are one in the counts of terms
-    one = chunks.join(large, "scope").groupBy("scope", "chunk_id", "page_number", length.alias("_len")).agg(F.array_distinct(F.flatten(F.collect_list(words))).alias("_w"), F.count("*").alias("_copies"))
+    one = own.groupBy("scope", "chunk_id", "page_number", length.alias("_len")).agg(F.array_distinct(F.flatten(F.collect_list(words))).alias("_w"), F.count("*").alias("_copies"))
     counted = one.select("scope", F.explode("_w").alias("word")).groupBy("scope", "word").agg(F.count("*").alias("count"))
     lists = counted.groupBy("scope").agg(F.collect_list(F.struct("word", "count")).alias("l")).select("scope", F.array_join("l.word", " ").alias("words"), F.array_join(F.col("l.count").cast("array<string>"), " ").alias("counts"))
     stats = one.groupBy("scope").agg(F.sum("_copies").alias("n"), F.sum(F.col("_copies") * F.col("_len")).alias("total")).join(lists, "scope", "left").withColumn("question_id", F.lit(None).cast(questions.schema["question_id"].dataType))
@@ -141,7 +149,14 @@ def _names(scope: pa.Array, chunk_id: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return np.argsort(name, kind="stable"), (np.cumsum(number) - number)[name], number[name]
 
 
-def top_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, bm25: bool, padded: bool = False, matched: bool = False) -> DataFrame:
+def _once(chunks: pa.Table) -> pa.Table:
+    """Each chunk once, of those with the same text the first."""
+    own = ["scope", "chunk_id", "page_number", "words", "digest"]
+    at = chunks.select(own).append_column("at", pa.array(np.arange(chunks.num_rows))).group_by(own).aggregate([("at", "min")])["at_min"]
+    return chunks if len(at) == chunks.num_rows else chunks.take(np.sort(at.to_numpy()))
+
+
+def top_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, bm25: bool, padded: bool = False, matched: bool = False, made: list[Column] | None = None) -> DataFrame:
     """(question_id, chunk_id, page_number, score): of each block a question's ``k`` best by BM25, or by the number of
     common words.
 
@@ -149,15 +164,18 @@ def top_of_blocks(questions: DataFrame, chunks: DataFrame, k: int, bm25: bool, p
     between blanks. Ties go to the earlier page, then the smaller chunk_id. Chunks without a common word are left out,
     unless ``padded``: then they count with 0 for questions that have a word. ``matched`` adds how many of the question's
     distinct words the chunk has: one number for each row with the chunk's scope and chunk_id, all of which are in one block.
+    ``made``: chunks have their ``text`` and may have copies; it makes the words, and the ``digest`` that tells texts apart.
     """
     q = questions.groupBy("question_id", "scope").agg(F.array_join(F.collect_list("words"), " ").alias("asked"))
     words = F.filter(F.split("words", " "), lambda w: w != "")
-    q, c = _in_blocks(q, chunks, words, F.size(words))
-    kind = questions.schema["question_id"].dataType.simpleString()
+    q, c = _in_blocks(q, chunks, words, F.size(words), made)
+    kind, copies = questions.schema["question_id"].dataType.simpleString(), made is not None
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = left.filter(pc.is_valid(left["question_id"]))
         at_q, at_c, scores, covers = [], [], [], []
+        if copies:
+            right = _once(right)
         if asked.num_rows and right.num_rows:
             large = _large(left.filter(pc.is_null(left["question_id"])))
             asked = _by_scope(asked)

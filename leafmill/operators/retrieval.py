@@ -20,6 +20,8 @@ from leafmill.sources.tables import settle
 PARTS = 8
 #: Chunks of one scope that are numbered by one sort, about.
 NUMBERED_AT_ONCE = 5_000
+#: Questions of one scope that lie together, about.
+TOGETHER = 2_000
 
 
 def top(df: DataFrame, k: int, *order: Column, by: str = "question_id") -> DataFrame:
@@ -39,15 +41,29 @@ def _in_parts(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = 3, padded: bool = False, matched: bool = False) -> DataFrame:
+def bm25(questions: DataFrame, chunks: DataFrame, k: int = 3, padded: bool = False, matched: bool = False, copies: bool = False) -> DataFrame:
     """(question_id, chunk_id, page_number, score, rank). ``padded``: chunks without a common term follow with 0, in
     order, where fewer than ``k`` have one; questions without terms have no rows either way. ``matched`` adds what
-    ``rerank`` needs of the texts, as ``ranking.top_of_blocks`` counts it."""
+    ``rerank`` needs of the texts, as ``ranking.top_of_blocks`` counts it. ``copies``: chunks may have copies of a row, which
+    are one where the blocks are ranked: no texts move before."""
     words = lambda c: F.array_join(tx.plain_terms(c), " ").alias("words")
-    found = ranking.top_of_blocks(questions.select("question_id", "scope", words("question")), chunks.select("scope", "chunk_id", "page_number", words("text")), k, bm25=True, padded=padded, matched=matched)
+    made = [words("text"), F.xxhash64("text").alias("digest")]  # equal words and an equal hash: the same text
+    c = chunks.select("scope", "chunk_id", "page_number", *["text"] if copies else made[:1])
+    found = ranking.top_of_blocks(questions.select("question_id", "scope", words("question")), c, k, bm25=True, padded=padded, matched=matched, made=made if copies else None)
     return top(found, k, *_order())
 
 
+def together(found: DataFrame, questions: DataFrame) -> DataFrame:
+    """``found`` with ``near``: one number for the questions of a scope, several for those of a scope of more than TOGETHER.
+    Questions of a scope find the same chunks; rows spread by ``near`` have copies of a text behind one another, which then
+    take next to no room in a shuffle."""
+    own = questions.groupBy("question_id").agg(F.min("scope").alias("scope"))
+    parts = F.ceil(F.col("_n") / F.lit(TOGETHER)).cast("int")
+    many = F.broadcast(own.groupBy("scope").agg(F.count("*").alias("_n")).where(F.col("_n") > TOGETHER).select("scope", parts.alias("_parts")))  # at most one row for each TOGETHER questions
+    near = F.hash("scope", F.pmod(F.xxhash64("question_id"), F.coalesce("_parts", F.lit(1))))
+    return found.join(own.join(many, "scope", "left").select("question_id", near.alias("near")), "question_id")
+
+
 def query_terms(questions: DataFrame) -> DataFrame:
     """(question_id, scope, tokens, ignored, phrases): meaningful terms, left out ones (sorted, distinct), 4- to 2-grams."""
     raw = F.filter(F.regexp_extract_all(F.lower(F.coalesce("question", F.lit(""))), F.lit(tx.TERM), F.lit(0)), lambda x: F.length(x) > 1)

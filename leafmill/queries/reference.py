@@ -23,13 +23,30 @@ def named_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).where(F.col("scope").isNotNull())
 
 
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """DocumentChunk rows as they stand, with their copies."""
+    return table(spark, d, "doc_chunks").select(F.col("source_id").alias("scope"), "chunk_id", "page_number", "text")
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """DocumentChunk rows, each once, spread by chunk_id: joins on it move no texts again."""
-    return table(spark, d, "doc_chunks").select(F.col("source_id").alias("scope"), "chunk_id", "page_number", "text").repartition("chunk_id").distinct()
+    return chunk_rows(spark, d).repartition("chunk_id").distinct()
+
+
+def question_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Questions as they stand, with their copies."""
+    return table(spark, d, "eval_dataset").where("pdf is not null and question is not null").select(F.col("item_id").alias("question_id"), F.col("pdf").alias("scope"), "question", "answer", "source_text")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eval_dataset").where("pdf is not null and question is not null").select(F.col("item_id").alias("question_id"), F.col("pdf").alias("scope"), "question", "answer", "source_text").distinct()
+    return question_rows(spark, d).distinct()
+
+
+def _ranked_rows(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(questions spread by question_id, BM25 of the chunks with ``near``): nothing but the chunks' words moves for it."""
+    rows = question_rows(spark, d)
+    q = rows.repartition("question_id").distinct()
+    return q, retrieval.together(retrieval.bm25(q, chunk_rows(spark, d), k, copies=True), rows)
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -520,10 +537,10 @@ lf AS (SELECT *, 1200 - (sum(length(b) + 2) OVER (PARTITION BY question_id ORDER
 SELECT question_id, string_agg(CASE WHEN length(b) > room THEN rtrim(regexp_replace(substr(b, 1, CAST(room AS BIGINT)), '(?s) [^ ]*$', '')) ELSE b END, chr(10) || chr(10) ORDER BY rank) AS context FROM lf WHERE room > 0 GROUP BY question_id""")
 def question_contexts(spark: SparkSession, d: str) -> DataFrame:
     """The five best chunks of each question in 1,200 characters."""
-    q, c = questions(spark, d), chunks(spark, d)
-    x = retrieval.bm25(q, c, 5).join(c.select("chunk_id", "text"), "chunk_id")
-    x = x.withColumn("block", F.concat(F.lit("[Page "), F.col("page_number").cast("string"), F.lit("]\n"), tx.clean("text")))
-    return assemble.budgeted(x, "question_id", ["rank"], "block", 1200)
+    _, found = _ranked_rows(spark, d, 5)
+    block = F.concat(F.lit("[Page "), F.col("page_number").cast("string"), F.lit("]\n"), tx.clean("text"))
+    x = found.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").select("near", "question_id", "rank", block.alias("block")).repartition("near")
+    return assemble.budgeted(x, ["near", "question_id"], ["rank"], "block", 1200).drop("near")
 
 
 @query("""WITH s AS (SELECT DISTINCT * FROM study_sections), x AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n, coalesce(TRY_CAST(json_transform(key_concepts, '["VARCHAR"]') AS VARCHAR[]), []) AS k, trim(regexp_replace(coalesce(section_text, ''), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM s),

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -175,3 +176,35 @@ def test_composed_answers_rank_once_and_move_no_sentences(spark):
     found = evaluate.composed_answers(questions, ranked, chunks)
     assert {r[0]: r[1] for r in found.collect()} == {1: "The heap is a tree of nodes. Nodes of the heap and the tree! A heap.", 2: "Nothing here."}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
+
+
+@pytest.mark.parametrize("block", [20, 5_000])
+def test_copies_of_rows_are_one_where_they_are_ranked(spark, monkeypatch, block):
+    """Equal rows count once; those that differ in the text, null or empty among them, count each."""
+    monkeypatch.setattr(ranking, "BLOCK", block)
+    _, c, questions, chunks = made(spark, n=120, m=60)
+    more = [*c[:70], *c[:5], ("a", "c001", c[1][2], c[1][3] + "!"), ("a", "c002", c[2][2], None), ("a", "c002", c[2][2], None), ("a", "c002", c[2][2], ""), ("a", None, None, "all heap"), ("a", None, None, "all heap"), (None, "c9", 1, "all")]
+    chunks = chunks.unionByName(spark.createDataFrame(more, chunks.schema))
+    rows = lambda x: sorted((r["question_id"], r["rank"], r["chunk_id"] or "", r["page_number"] or 0, round(r["score"], 9)) for r in x.collect())
+    assert rows(retrieval.bm25(questions, chunks, 12, padded=True, copies=True)) == rows(retrieval.bm25(questions, chunks.distinct(), 12, padded=True))
+
+
+def test_contexts_move_texts_for_the_join_only(spark, monkeypatch):
+    from leafmill.queries import reference
+
+    def none(df, *_):
+        raise AssertionError("chunks are settled")
+
+    monkeypatch.setattr(ranking, "settle", none)
+    plan = reference.question_contexts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(chunk_id#\d+, \d+\), REPARTITION", plan)) == 1
+
+
+def test_questions_of_a_scope_lie_together(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TOGETHER", 20)
+    q = spark.createDataFrame([(i, "a" if i < 100 else f"b{i % 3}") for i in range(130)] + [(0, "z"), (1, "a")], "question_id bigint, scope string")
+    found = spark.createDataFrame([(i, i) for i in range(130)], "question_id bigint, rank int")
+    near = {r["question_id"]: r["near"] for r in retrieval.together(found, q).collect()}
+    assert len(near) == 130
+    assert len({near[i] for i in range(100)}) == 5
+    assert all(len({near[i] for i in range(100, 130) if i % 3 == j}) == 1 for j in range(3))
