@@ -44,16 +44,27 @@ def evaluate(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame) -> D
 
 
 def evaluate_depths(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame, depths: list[int]) -> DataFrame:
-    """The same for the first so many of the retrieved, as ``depth``: texts are joined once for all depths."""
+    """The same for the first so many of the retrieved, as ``depth``: texts are joined once for all depths. Where questions and
+    retrieved have ``near``, copies of a text are moved behind one another."""
     x = _texts(questions, retrieved, chunks).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
     return _measured(x.withColumn("texts", F.transform(F.filter("r", lambda t: t["rank"] <= F.col("depth")), lambda t: t["text"])), "depth")
 
 
 def _texts(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
+    if "near" in retrieved.columns:
+        return _near_texts(questions, retrieved, chunks)
     texts = retrieved.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("r"))
     return questions.select("question_id", "answer", "source_text").join(texts, "question_id", "left")
 
 
+def _near_texts(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same where questions and retrieved have ``near`` (``retrieval.together``): one shuffle by it brings both together."""
+    t = retrieved.join(chunks.select("chunk_id", "text"), "chunk_id").select("near", "question_id", F.struct("rank", "text").alias("t"))
+    q = questions.select("near", "question_id", F.struct("answer", "source_text").alias("q"))
+    x = q.unionByName(t, allowMissingColumns=True).repartition("near").groupBy("near", "question_id").agg(F.collect_list("q").alias("q"), F.array_sort(F.collect_list("t")).alias("r"))
+    return x.select("question_id", F.explode("q").alias("q"), "r").select("question_id", "q.answer", "q.source_text", "r")
+
+
 def _measured(x: DataFrame, *more: str) -> DataFrame:
     x = x.withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
     context = F.array_join("texts", "\n")

@@ -61,7 +61,7 @@ def together(found: DataFrame, questions: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("_n") / F.lit(TOGETHER)).cast("int")
     many = F.broadcast(own.groupBy("scope").agg(F.count("*").alias("_n")).where(F.col("_n") > TOGETHER).select("scope", parts.alias("_parts")))  # at most one row for each TOGETHER questions
     near = F.hash("scope", F.pmod(F.xxhash64("question_id"), F.coalesce("_parts", F.lit(1))))
-    return found.join(own.join(many, "scope", "left").select("question_id", near.alias("near")), "question_id")
+    return found.join(own.join(many, "scope", "left").select("question_id", near.alias("near")), "question_id", "left")
 
 
 def query_terms(questions: DataFrame) -> DataFrame:

@@ -43,10 +43,10 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked_rows(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """(questions spread by question_id, BM25 of the chunks with ``near``): nothing but the chunks' words moves for it."""
+    """(questions, BM25 of the chunks), both with ``near``: nothing but the chunks' words moves for it."""
     rows = question_rows(spark, d)
     q = rows.repartition("question_id").distinct()
-    return q, retrieval.together(retrieval.bm25(q, chunk_rows(spark, d), k, copies=True), rows)
+    return retrieval.together(q, rows), retrieval.together(retrieval.bm25(q, chunk_rows(spark, d), k, copies=True), rows)
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -491,9 +491,12 @@ def answer_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _evaluated(spark, d, 3).withColumn("f1", F.round("f1", 6)).withColumn("precision", F.round("precision", 6))
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    q, c = questions(spark, d), chunks(spark, d)
-    rows = evaluate.evaluate_depths(q, retrieval.bm25(q, c, 5), c, [1, 3, 5]).withColumn("config", F.concat(F.lit("top"), F.col("depth").cast("string")))
+def _grid(spark: SparkSession, d: str, labelled: bool = True) -> DataFrame:
+    """Averages of three depths; without labels no source texts are moved."""
+    q, found = _ranked_rows(spark, d, 5)
+    if not labelled:
+        q = q.withColumn("source_text", F.lit(None).cast("string"))
+    rows = evaluate.evaluate_depths(q, found, chunks(spark, d), [1, 3, 5]).withColumn("config", F.concat(F.lit("top"), F.col("depth").cast("string")))
     return evaluate.averages(rows)
 
 
@@ -504,7 +507,7 @@ def experiment_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_EVAL + " SELECT 'top' || k AS config FROM ev GROUP BY k ORDER BY round(avg(f1), 4) DESC, 1 LIMIT 1")
 def best_configuration(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.best_config(_grid(spark, d), "f1").select("config")
+    return evaluate.best_config(_grid(spark, d, labelled=False), "f1").select("config")
 
 
 @query()

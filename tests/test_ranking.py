@@ -208,3 +208,27 @@ def test_questions_of_a_scope_lie_together(spark, monkeypatch):
     assert len(near) == 130
     assert len({near[i] for i in range(100)}) == 5
     assert all(len({near[i] for i in range(100, 130) if i % 3 == j}) == 1 for j in range(3))
+
+
+def test_measures_are_alike_where_questions_lie_together(spark):
+    from leafmill.operators import evaluate
+
+    _, _, questions, chunks = made(spark, n=40, m=20)
+    questions = questions.selectExpr("*", "substring(question, 5) as answer", "case when question_id % 3 > 0 then 'tree' end as source_text")
+    questions = questions.unionByName(questions.where("question_id = 1").selectExpr("question_id", "scope", "question", "'heap' as answer", "null as source_text"))
+    questions = questions.unionByName(questions.where("question_id = 2").selectExpr("null as question_id", "scope", "question", "answer", "source_text"))
+    found = retrieval.bm25(questions.where("question_id is not null"), chunks, 5)
+    rows = lambda x: sorted((tuple(r) for r in x.collect()), key=str)
+    near = evaluate.evaluate_depths(retrieval.together(questions, questions), retrieval.together(found, questions), chunks, [1, 3])
+    assert rows(near) == rows(evaluate.evaluate_depths(questions, found, chunks, [1, 3])) and near.count() == 2 * 24
+
+
+def test_best_configuration_moves_texts_for_the_join_only(spark, monkeypatch):
+    from leafmill.queries import reference
+
+    def none(df, *_):
+        raise AssertionError("chunks are settled")
+
+    monkeypatch.setattr(ranking, "settle", none)
+    plan = reference.best_configuration(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(chunk_id#\d+, \d+\), REPARTITION", plan)) == 1
